@@ -11,6 +11,24 @@ from lakeferry.llm.base import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lakeferry.llm.credentials import SecretScan, report
+
+    return report(table(spark, sf_dir, "documents"), SecretScan(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+#: The key of the registered query and of the pipeline; a deployment passes its own.
+PII_KEY = b"lakeferry registered query"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeferry.llm.pii import Pseudonymiser, report
+
+    return report(table(spark, sf_dir, "documents"), Pseudonymiser(spark, PII_KEY))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +45,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_secrets": op4_secrets,
+    "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
 }
