@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from lakeferry.llm.base import narrow_batches
 
 #: Pre-tokens of up to so many characters are remembered, and so many of them at once.
-CACHED_CHARS, CACHED = 40, 400_000
+CACHED_CHARS, CACHED = 40, 200_000
+#: Rows of an Arrow batch: ids take far more room as Python integers than texts do.
+ROWS = 500
 
 
 @lru_cache(1)
@@ -92,14 +94,15 @@ class Codec:
         tokens = sorted(ranks, key=ranks.get)
         # A token that no merges lead to is still one token where it is a whole match.
         self.whole = {t: [k] for k, (t, ids) in enumerate(zip(tokens, self._merged(tokens), strict=True)) if ids != [k]}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.ints = list(range(len(ranks) + 1))  # one object for each id, whatever holds it
 
     def _merged(self, pieces: list[bytes]) -> list[list[int]]:
         return self.model.encode([p.decode("latin-1").translate(self.table) for p in pieces], out_type=int, num_threads=1)
 
-    def _learn(self, pieces: list[str]) -> dict[str, list[int]]:
-        raw = [p.encode() for p in pieces]
-        return {p: self.whole.get(r, ids) for p, r, ids in zip(pieces, raw, self._merged(raw), strict=True)}
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        raw, shared = [p.encode() for p in pieces], self.ints.__getitem__
+        return {p: tuple(map(shared, self.whole.get(r, ids))) for p, r, ids in zip(pieces, raw, self._merged(raw), strict=True)}
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
@@ -138,7 +141,7 @@ class ByteBPE:
             data = f.read(max_bytes + 1)
         if len(data) > max_bytes:
             raise ValueError(f"{vocabulary} has over {max_bytes} bytes")
-        narrow_batches(spark)
+        narrow_batches(spark, ROWS)
         sent = spark.sparkContext.broadcast(data)
 
         @F.arrow_udf("array<int>")
@@ -148,9 +151,8 @@ class ByteBPE:
 
         @F.arrow_udf("binary")
         def decode(ids: pa.Array) -> pa.Array:
-            own, values = codec(sent.value, pattern), ids.values.to_numpy(zero_copy_only=False).tolist() if len(ids) else []
-            at = ids.offsets.to_pylist()
-            return pa.array([own.decode(values[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            own, values, at = codec(sent.value, pattern), ids.values, ids.offsets.to_pylist()
+            return pa.array([own.decode(values.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()) for a, b in zip(at, at[1:], strict=False)], pa.binary())
 
         self._encode, self._decode = encode, decode
 

@@ -11,6 +11,12 @@ from lakeferry.llm.base import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeferry.llm.decontam import Decontaminator, report
+
+    return report(table(spark, sf_dir, "documents"), Decontaminator(table(spark, sf_dir, "benchmark")))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,10 +51,35 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op4_secrets": op4_secrets,
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), grams AS (
+    SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(8, len(w)) AS n, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') AS gram
+    FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 7))) AS i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM grams), seen AS (
+    SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram
+    FROM d, sizes, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS i) WHERE len(w) >= n
+), hit AS (
+    SELECT seen.doc_id, seen.i, seen.n, grams.item FROM seen JOIN grams USING (n, gram)
+), covered AS (
+    SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS at FROM hit) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item))), ',') AS ids FROM hit GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+}
