@@ -74,7 +74,7 @@ WITH d AS (
 ), hit AS (
     SELECT seen.doc_id, seen.i, seen.n, grams.item FROM seen JOIN grams USING (n, gram)
 ), covered AS (
-    SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS at FROM hit) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS place FROM hit) GROUP BY doc_id
 ), named AS (
     SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item))), ',') AS ids FROM hit GROUP BY doc_id
 )
