@@ -25,6 +25,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), SecretScan(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeferry.llm.langid import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 #: The key of the registered query and of the pipeline; a deployment passes its own.
 PII_KEY = b"lakeferry registered query"
 
@@ -53,6 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op4_secrets": op4_secrets,
+    "op6_language": op6_language,
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
