@@ -17,6 +17,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), Decontaminator(table(spark, sf_dir, "benchmark")))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeferry.llm.simhash import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_simhash": op3_simhash,
     "op4_secrets": op4_secrets,
     "op6_language": op6_language,
     "op8_pii": op8_pii,
