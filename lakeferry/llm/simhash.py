@@ -170,9 +170,10 @@ def ball(width: int, t: int) -> np.ndarray:
 def mixed(*parts: np.ndarray | int) -> np.ndarray:
     """One hash of numbers side by side. Two cells with one hash would share a place, and verification would part them."""
     h = np.uint64(0x9E3779B97F4A7C15)
-    for p in parts:
-        h = (h ^ np.asarray(p, np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = h ^ h >> np.uint64(29)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = (h ^ np.asarray(p, np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = h ^ h >> np.uint64(29)
     return h
 
 
