@@ -37,6 +37,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), SecretScan(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeferry.llm.toxicity import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeferry.llm.langid import report
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_simhash": op3_simhash,
     "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
@@ -106,7 +113,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), linked AS (
     SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
     WHERE list_cosine_similarity(a.e, b.e) >= 0.93
