@@ -3,8 +3,8 @@
 Features: densities of lexicons, second-person words and their nearness to lexicon words, capitals, punctuation, and obfuscation
 (characters put in place of letters, letters drawn out or spelled apart). There are two lexicons: a short fixed list
 of insults, and one that is learnt from labelled texts: words and beginnings of words that are far more frequent in
-toxic texts. It is learnt on other texts than the trees, and calibration on others again, so that neither trusts what was only
-memorised. Trees, lexicon and calibration are small and are sent to the executors; texts are scored whole.
+toxic texts. Trees see each text as a lexicon learnt on others sees it, and calibration sees scores of trees grown on others, so
+that neither trusts what was only memorised. All three are small and are sent to the executors; texts are scored whole.
 
 Fitting takes a bounded sample of labelled rows: at most `max_rows`, chosen by a hash of the text, of texts up to
 `max_chars` characters. Null and empty texts have zero features and a score like any other. Without labelled rows of both kinds each
@@ -123,7 +123,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
 class Boosted:
     """Trees of logistic boosting over binned features."""
 
-    def __init__(self, rounds: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, least: float = 5.0, ridge: float = 1.0):
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 48, least: float = 1.5, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge = rounds, depth, rate, bins, least, ridge
         self.edges: list[np.ndarray] = []
         self.base = 0.0
@@ -213,22 +213,22 @@ class Scorer:
         return np.clip(0.98 * np.interp(raw, self.places, self.values) + 0.02 / (1 + np.exp(-raw)), 0, 1)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Scorer:
-    """Half of the texts, by a checksum, teach the lexicon, three tenths the trees, two tenths the calibration."""
+def fit(texts: list[str], labels: np.ndarray, folds: int = 3) -> Scorer:
+    """Texts are dealt into folds by a checksum, equal ones together. The features that trees and calibration learn from use a
+    lexicon learnt on the other folds, and calibration uses trees of the other folds."""
     if len(set(labels.tolist())) < 2:
         return Scorer({}, None, np.zeros(1), np.array([labels.mean() if len(labels) else 0.5]))
-    part = np.array([zlib.crc32(t.encode()) // 7 % 10 for t in texts])
-    of = lambda a, b: np.flatnonzero((part >= a) & (part < b))
-    if any(len(set(labels[of(a, b)].tolist())) < 2 for a, b in ((0, 5), (5, 8), (8, 10))):
-        part = np.arange(len(texts)) % 10  # too few texts for a checksum to mix them
-    if any(len(set(labels[of(a, b)].tolist())) < 2 for a, b in ((0, 5), (5, 8), (8, 10))):
-        return Scorer({}, None, np.zeros(1), np.array([labels.mean()]))
-    learnt = learn_lexicon([texts[k] for k in of(0, 5)], labels[of(0, 5)])
-    lexicon = Lexicon(learnt)
-    rows = lambda own: np.array([features(texts[k], lexicon) for k in own])
-    trees = Boosted().fit(rows(of(5, 8)), labels[of(5, 8)].astype(float))
-    own = of(8, 10)
-    return Scorer(learnt, trees, *isotonic(trees(rows(own)), labels[own].astype(float)))
+    y, fold = labels.astype(float), np.array([zlib.crc32(t.encode()) // 7 % folds for t in texts])
+    x, raw = np.zeros((len(texts), len(NAMES))), np.zeros(len(texts))
+    for k in range(folds):
+        own, other = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        lexicon = Lexicon(learn_lexicon([texts[i] for i in other], labels[other]))
+        x[own] = np.array([features(texts[i], lexicon) for i in own]).reshape(len(own), len(NAMES))
+    for k in range(folds):
+        own, other = fold == k, fold != k
+        if own.any():
+            raw[own] = Boosted().fit(x[other], y[other])(x[own]) if other.any() else 0
+    return Scorer(learn_lexicon(texts, labels), Boosted().fit(x, y), *isotonic(raw, y))
 
 
 #: In a Python worker, the model that it used last.
@@ -262,11 +262,18 @@ class Toxicity:
         return self._score(text)
 
 
-def report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, **parameters) -> DataFrame:
+def labelled(df: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
+    """doc_id, text and label of at most max_rows rows of labels (0 or 1), chosen by a hash: few enough to broadcast, so that texts stay where they are."""
+    own = labels.select("doc_id", F.col(f"`{label_col}`").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
+    own = own.orderBy(F.xxhash64("doc_id", "label"), "doc_id").limit(max_rows)
+    return df.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+
+
+def report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, max_rows: int = 12_000) -> DataFrame:
     """doc_id, held_out, score and predicted; learnt from the labelled rows that aren't held out."""
     held = lambda c: F.crc32(c.cast("string").cast("binary")) % 4 == 2
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     own = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).where(~held(F.col("doc_id")))
-    model = Toxicity(rows.join(own, "doc_id"), "text", "label", **parameters)
+    model = Toxicity(labelled(rows, own, "label", max_rows), "text", "label", max_rows)
     found = rows.select("doc_id", F.coalesce(held(F.col("doc_id")), F.lit(False)).alias("held_out"), model.score(F.col("text").cast("string")).alias("score"))
     return found.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
