@@ -62,6 +62,16 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About `rows` of the distinct rows of df, or all if there are fewer, and never more than twice as many.
+
+    A hash of the columns `by` decides on each row where it is, so that what reaches the driver doesn't grow with the number of
+    tasks; copies of a row fall together and count once.
+    """
+    share = min(1.0, rows / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int(share * (1 << 40))).distinct().limit(2 * rows)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts; null is empty."""
     return [x or "" for x in column.to_pylist()]

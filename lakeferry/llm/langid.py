@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import narrow_batches
+from lakeferry.llm.base import bounded_sample, cut, narrow_batches
 
 ORDER = 4
 #: Characters that are worked on at once.
@@ -288,13 +288,11 @@ class LanguageID:
     """Fits on the rows of df with a language; then predicts for any texts.
 
     max_ngrams: of the highest order, for all languages together, in the models. max_languages: more than that is an error.
-    calibration_rows: texts, chosen by a hash among those of up to calibration_chars characters, that confidence and rejection are
-    calibrated on.
+    calibration_rows: about so many texts, chosen by a hash among those of up to calibration_chars characters, calibrate confidence
+    and rejection.
     """
 
     def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int = 1_500_000, max_languages: int = 64, calibration_rows: int = 2000, calibration_chars: int = 20_000):
-        from lakeferry.llm.base import cut
-
         spark = df.sparkSession
         narrow_batches(spark)
         counts = cut(count_ngrams(df, lang_col, text_col))
@@ -316,8 +314,8 @@ class LanguageID:
         model = kneser_ney(languages, own) if languages else Model([])
         if languages:
             some = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where(f"lang IS NOT NULL AND length(text) <= {calibration_chars}")
-            some = some.orderBy(F.xxhash64("text", "lang")).limit(calibration_rows).collect()
-            calibrate(model, [r.text for r in some if r.lang in languages], [r.lang for r in some if r.lang in languages])
+            pairs = sorted((r.text, r.lang) for r in bounded_sample(some, calibration_rows, "text", "lang").collect() if r.lang in languages)
+            calibrate(model, [t for t, _ in pairs], [k for _, k in pairs])
         self.model, name = model, uuid.uuid4().hex
         sent = spark.sparkContext.broadcast(model)
 
