@@ -49,6 +49,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeferry.llm.quality import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The key of the registered query and of the pipeline; a deployment passes its own.
 PII_KEY = b"lakeferry registered query"
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
+    "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
