@@ -80,6 +80,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
