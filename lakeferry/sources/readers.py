@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import subprocess
 import tempfile
@@ -71,7 +72,7 @@ def query(spark: SparkSession, sql: str, *, args: Mapping[str, Any] | Sequence[A
 
 
 def statements(text: str) -> list[str]:
-    """The statements of a text: split at semicolons outside of quotes and comments."""
+    """The statements of a text: split at semicolons outside of quotes and comments; comments alone are none."""
     out, now, quote, k = [], [], "", 0
     while k < len(text):
         c, two = text[k], text[k : k + 2]
@@ -92,7 +93,8 @@ def statements(text: str) -> list[str]:
         else:
             now.append(c)
         k += 1
-    return [s for s in [*out, "".join(now).strip()] if s]
+    bare = lambda s: re.sub(r"--[^\n]*|/\*.*?\*/", "", s, flags=re.DOTALL).strip()
+    return [s for s in [*out, "".join(now).strip()] if bare(s)]
 
 
 def jdbc(spark: SparkSession, url: str, table_or_query: str, *, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, **options: str) -> Opened:
