@@ -6,7 +6,7 @@ of insults, and one that is learnt from labelled texts: words and beginnings of
 toxic texts. Trees see each text as a lexicon learnt on others sees it, and calibration sees scores of trees grown on others, so
 that neither trusts what was only memorised. All three are small and are sent to the executors; texts are scored whole.
 
-Fitting takes a bounded sample of labelled rows: at most `max_rows`, chosen by a hash of the text, of texts up to
+Fitting takes a bounded sample of labelled rows: about `max_rows`, at most twice as many, chosen by a hash, of texts up to
 `max_chars` characters. Null and empty texts have zero features and a score like any other. Without labelled rows of both kinds each
 score is the share of toxic ones, or 0.5. Rows without a label, or with an id that has no label, are never learnt from. Repeated
 rows are scored each; labels that repeat for an id count once each; other columns change nothing.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import narrow_batches
+from lakeferry.llm.base import bounded_sample, narrow_batches
 
 # Insults in four languages, and second-person words.
 INSULTS = frozenset("""
@@ -236,16 +236,15 @@ _SCORERS: dict[str, Scorer] = {}
 
 
 class Toxicity:
-    """labelled: rows with a text and a label 0 or 1."""
+    """labelled: rows with a text and a label 0 or 1. max_rows: None if they are bounded already."""
 
-    def __init__(self, labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_chars: int = 20_000):
+    def __init__(self, labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int | None = 12_000, max_chars: int = 20_000):
         spark = labelled.sparkSession
         narrow_batches(spark)
         text, label = F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")
         rows = labelled.select(text, label).where(f"label IN (0, 1) AND text IS NOT NULL AND length(text) <= {max_chars}")
-        # The sample is bounded in rows and in characters: the hashes of texts and labels decide, not their order.
-        rows = rows.withColumn("by", F.xxhash64("text", "label")).orderBy("by").limit(max_rows).select("text", "label").toArrow()
-        self.scorer, name = fit(rows["text"].to_pylist(), rows["label"].to_numpy()), uuid.uuid4().hex
+        rows = sorted((r.text, r.label) for r in (rows if max_rows is None else bounded_sample(rows, max_rows, "text", "label")).collect())
+        self.scorer, name = fit([t for t, _ in rows], np.array([y for _, y in rows], int)), uuid.uuid4().hex
         sent = spark.sparkContext.broadcast(self.scorer)
 
         @F.arrow_udf("double")
@@ -263,10 +262,9 @@ class Toxicity:
 
 
 def labelled(df: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
-    """doc_id, text and label of at most max_rows rows of labels (0 or 1), chosen by a hash: few enough to broadcast, so that texts stay where they are."""
+    """doc_id, text and label of about max_rows rows of labels (0 or 1), chosen by a hash: few enough to broadcast, so that texts stay where they are."""
     own = labels.select("doc_id", F.col(f"`{label_col}`").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
-    own = own.orderBy(F.xxhash64("doc_id", "label"), "doc_id").limit(max_rows)
-    return df.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    return df.select("doc_id", "text").join(F.broadcast(bounded_sample(own, max_rows, "doc_id", "label")), "doc_id")
 
 
 def report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, max_rows: int = 12_000) -> DataFrame:
@@ -274,6 +272,6 @@ def report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     held = lambda c: F.crc32(c.cast("string").cast("binary")) % 4 == 2
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     own = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).where(~held(F.col("doc_id")))
-    model = Toxicity(labelled(rows, own, "label", max_rows), "text", "label", max_rows)
+    model = Toxicity(labelled(rows, own, "label", max_rows), "text", "label", None)
     found = rows.select("doc_id", F.coalesce(held(F.col("doc_id")), F.lit(False)).alias("held_out"), model.score(F.col("text").cast("string")).alias("score"))
     return found.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
