@@ -1,4 +1,4 @@
-"""Command line: ld, run, delta vacuum, delta vacuum-table, schema."""
+"""Command line: ld, run, delta vacuum, delta vacuum-table, ingest, schema."""
 
 from __future__ import annotations
 
@@ -62,6 +62,10 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--retention")
         p.add_argument("--dry-run", action="store_true")
         p.add_argument("--unchecked", action="store_true")
+    take = subs.add_parser("ingest", help="run the statements that a hook gives for a file")
+    take.add_argument("url")
+    take.add_argument("--pattern", required=True)
+    take.add_argument("--modules", default="modules")
     schema = subs.add_parser("schema", help="what a kind's block may hold")
     schema.add_argument("kind", nargs="?")
     return top
@@ -92,6 +96,12 @@ def main(argv: Sequence[str] | None = None, *, spark=None, environment: dict[str
     from lakeferry.deltalog.vacuum import vacuum
     from lakeferry.plans.runner import run
 
+    if a.command == "ingest":
+        from lakeferry.plans.ingest import ingest
+
+        for line in ingest(spark or session(), a.url, a.pattern, a.modules):
+            print(json.dumps(line, default=str))
+        return 0
     env = Environment(environment if environment is not None else dict(os.environ))
     names = a.select.split(",") if getattr(a, "select", None) else None
     if a.command == "delta":

@@ -274,3 +274,29 @@ def test_stream(spark, tmp_path):
     q = upsert_stream(stream, f"{tmp_path}/t", ["k"], app_id="s", checkpoint=f"{tmp_path}/c", order="o")
     q.awaitTermination()
     assert sorted((r.k, r.v) for r in Table(spark, f"{tmp_path}/t").read().collect()) in ([(1, "a"), (2, "d"), (3, "e")], [(1, "a"), (2, "b"), (3, "e")])
+
+
+def test_ingest(spark, tmp_path, capsys):
+    from lakeferry.functions.paths import PathPattern
+    from lakeferry.plans.ingest import IngestError, find_hook, module_paths, storage_data, url_data
+
+    p = PathPattern("{schema}_{table}/v/{_}/*")
+    assert module_paths(p, "m") == ["m/schema_table/v/__init__.py", "m/schema_table/v.py", "m/schema_table_v.py"]
+    (tmp_path / "schema_table_v.py").write_text("from lakeferry.plans.ingest import Plan\ndef process(url, storage, parts, schema, context):\n    return Plan([f\"select '{parts['table']}' as t, '{url['base_name']}' as b\"], post_sql=['select 1 as one'])\n")
+    assert cli.main(["ingest", "file:///a_b/v/x/f.tar.gz", "--pattern", p.pattern, "--modules", str(tmp_path)], spark=spark, environment={}) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [x["rows"] for x in lines] == [[{"t": "b", "b": "f"}], [{"one": 1}]]
+    with pytest.raises(IngestError):
+        find_hook(["nowhere.py"])
+    u = url_data("https://h.x/a/f.tar.gz?q#z")
+    assert (u["filename"], u["file_stem"], u["extension"], u["base_name"], u["full_extension"], u["query"], u["fragment"]) == ("f.tar.gz", "f.tar", "gz", "f", "tar.gz", "q", "z")
+    assert storage_data("abfss://c@acc.dfs.core.windows.net/a/b") == {"type": "azure", "storage_account": "acc", "container": "c", "path": "a/b"}
+
+
+def test_catalog_types():
+    from lakeferry.functions.catalog import from_catalog
+
+    assert [from_catalog("c", *x).ddl() for x in (("int2", -1), ("numeric", (18 << 16 | 4) + 4), ("varchar", 14), ("bpchar", 7), ("_text", -1), ("timestamptz", 3))] == ["smallint", "numeric(18, 4)", "varchar(10)", "varchar(3)", "jsonb", "timestamptz"]
+    assert from_catalog("c", "timestamp", -1).time_unit == "Micros" and from_catalog("c", "timestamp", 0).time_unit == "Second"
+    with pytest.raises(Exception, match="no logical type"):
+        from_catalog("c", "interval", -1)
