@@ -189,7 +189,7 @@ class Decontaminator:
 def removed(text: str, hits: list[tuple[int, int]]) -> str:
     """The text without these stretches of words and what stands between their words."""
     raw = text.encode()
-    at = [m.span() for m in WORD.finditer(raw)]
+    at = [m.span() for m in WORD.finditer(raw.lower())]
     out, end = [], 0
     for a, b in hits:
         out.append(raw[end : at[a][0]])
