@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another system's library keeps memory as it likes
+    _LIBC = None
+
 #: Arrow batches hold at most so many rows, so that a batch of long texts stays small beside an executor's memory.
 BATCH_ROWS = 2000
 
@@ -72,6 +79,13 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int(share * (1 << 40))).distinct().limit(2 * rows)
 
 
+def tidy() -> None:
+    """Give memory that a Python worker no longer needs back to the system: workers outlive tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts; null is empty."""
     return [x or "" for x in column.to_pylist()]

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import narrow_batches
+from lakeferry.llm.base import narrow_batches, tidy
 
 #: Pre-tokens of up to so many characters are remembered, and so many of them at once.
 CACHED_CHARS, CACHED = 40, 200_000
@@ -154,7 +154,16 @@ class ByteBPE:
             own, values, at = codec(sent.value, pattern), ids.values, ids.offsets.to_pylist()
             return pa.array([own.decode(values.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()) for a, b in zip(at, at[1:], strict=False)], pa.binary())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+        def both(texts: pa.Array) -> pa.Array:
+            own = codec(sent.value, pattern)
+            ids = [own.encode(t or "") for t in texts.to_pylist()]
+            out = pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.binary())], ["ids", "decoded"])
+            del ids
+            tidy()
+            return out
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         """array<int>: the ids of each text."""
@@ -164,6 +173,10 @@ class ByteBPE:
         """binary: the bytes of each id list."""
         return self._decode(F.coalesce(ids, F.array().cast("array<int>")))
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids, decoded>: the ids of each text, and the bytes that they decode to; both in one Python worker."""
+        return self._both(text)
+
 
 def encoded(df: DataFrame, bpe: ByteBPE, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with a column of ids."""
@@ -177,10 +190,10 @@ def decoded(df: DataFrame, bpe: ByteBPE, ids_col: str = "ids", bytes_col: str =
 
 def digest(df: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, from the ids and the bytes that the operator returns."""
-    rows = decoded(encoded(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), bpe), bpe)
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), bpe.round_trip(F.col(f"`{text_col}`").cast("string")).alias("found"))
     return rows.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("found.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("found.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("found.decoded", 256).alias("decoded_sha256"),
     )

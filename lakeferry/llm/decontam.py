@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import cut, fresh, keyed, narrow_batches, strings
+from lakeferry.llm.base import cut, fresh, keyed, narrow_batches, strings, tidy
 
 #: Separators become spaces, A-Z small letters; bytes of characters beyond ASCII stay.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -109,11 +109,12 @@ class Decontaminator:
         if size <= max_broadcast:
             self.sent = spark.sparkContext.broadcast([(bytes(r.gram), r["items"]) for r in self.windows.collect()])
 
-    def found(self, text: Column) -> Column:
-        """struct<n_words, n_hit, hits, items>: hits are stretches of words, of one length each, items are sorted ids. Only with a broadcast set."""
-        sent, name = self.sent, self.name
+    def _scan(self, text: Column, cut: bool) -> Column:
+        """struct<n_words, n_hit, hits, items, text>: text is the given one, or, to cut, without windows of n words."""
+        sent, name, n = self.sent, self.name, self.n
+        kind = pa.struct([*_ARROW, ("text", pa.string())])
 
-        @F.arrow_udf(FOUND)
+        @F.arrow_udf(FOUND[:-1] + ", text: string>")
         def scan(texts: pa.Array) -> pa.Array:
             if name not in _SCANNERS:
                 _SCANNERS.clear()
@@ -122,15 +123,21 @@ class Decontaminator:
             for t in texts.to_pylist():
                 own = words((t or "").encode())
                 hits, items = scanner.scan(own)
-                out.append({"n_words": len(own), "n_hit": sum(b - a for a, b in merged(hits)), "hits": [{"first": a, "after": b} for a, b in hits], "items": sorted(items)})
-            return pa.array(out, _ARROW)
+                full = merged([h for h in hits if h[1] - h[0] >= n]) if cut else []
+                out.append({"n_words": len(own), "n_hit": sum(b - a for a, b in merged(hits)), "hits": [{"first": a, "after": b} for a, b in hits], "items": sorted(items), "text": removed(t, full) if full else t if cut else None})
+            found = pa.array(out, kind)
+            del out
+            tidy()
+            return found
 
         return scan.asNondeterministic()(text)  # so that a filter on the result doesn't make a second scan below it
 
     def annotate(self, df: DataFrame, text_col: str = "text", found_col: str = "found") -> DataFrame:
-        """df with a column as found() returns it."""
+        """df with a column struct<n_words, n_hit, hits, items>: hits are stretches of words, of one length each, items are sorted ids."""
         text = F.col(f"`{text_col}`").cast("string")
-        return df.withColumn(found_col, self.found(text)) if self.sent is not None else self._joined(df, text, found_col)
+        if self.sent is None:
+            return self._joined(df, text, found_col)
+        return df.withColumn(found_col, self._scan(text, False)).withColumn(found_col, F.col(found_col).dropFields("text"))
 
     def _joined(self, df: DataFrame, text: Column, found_col: str) -> DataFrame:
         """For sets too large to broadcast: windows meet by hash. Rows get a number of their own, as ids may repeat."""
@@ -171,18 +178,21 @@ class Decontaminator:
         out of the texts (shorter items may occur by chance), `both` does the first and then the second."""
         if action not in ("documents", "spans", "both"):
             raise ValueError(f"unknown action {action}")
-        found, n = fresh(df, "found"), self.n
+        found, n, text = fresh(df, "found"), self.n, F.col(f"`{text_col}`").cast("string")
+        if self.sent is not None:
+            out, cut = df.withColumn(found, self._scan(text, action != "documents")), F.col(f"{found}.text")
+        else:
 
-        @F.arrow_udf("string")
-        def without(texts: pa.Array, hits: pa.Array) -> pa.Array:
-            cut = [merged([(x["first"], x["after"]) for x in h or [] if x["after"] - x["first"] >= n]) for h in hits.to_pylist()]
-            return pa.array([removed(t, h) if h else t for t, h in zip(texts.to_pylist(), cut, strict=True)], pa.string())
+            @F.arrow_udf("string")
+            def without(texts: pa.Array, hits: pa.Array) -> pa.Array:
+                full = [merged([(x["first"], x["after"]) for x in h or [] if x["after"] - x["first"] >= n]) for h in hits.to_pylist()]
+                return pa.array([removed(t, h) if h else t for t, h in zip(texts.to_pylist(), full, strict=True)], pa.string())
 
-        out = self.annotate(df, text_col, found)
+            out, cut = self.annotate(df, text_col, found), without(text, F.col(f"{found}.hits"))
         if action != "spans":
             out = out.where(F.size(f"{found}.items") < least_items)
         if action != "documents":
-            out = out.withColumn(text_col, F.when(F.size(f"{found}.hits") > 0, without(F.col(f"`{text_col}`"), F.col(f"{found}.hits"))).otherwise(F.col(f"`{text_col}`")))
+            out = out.withColumn(text_col, cut)
         return out.drop(found)
 
 

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import bounded_sample, cut, narrow_batches
+from lakeferry.llm.base import bounded_sample, cut, narrow_batches, tidy
 
 ORDER = 4
 #: Characters that are worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 SPACE = 32
 
 
@@ -270,6 +270,7 @@ def count_ngrams(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                         yield emit(lang)
         for lang in list(held):
             yield emit(lang)
+        tidy()
 
     rows = df.select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
     return rows.where(rows[0].isNotNull()).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -325,6 +326,7 @@ class LanguageID:
                 _MODELS.clear()
                 _MODELS[name] = sent.value
             out = _MODELS[name].predict(texts.to_pylist())
+            tidy()
             return pa.StructArray.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], ["lang", "score", "rejected"])
 
         self._predict = predict.asNondeterministic()  # a filter on the result must not predict once more below it
