@@ -31,6 +31,11 @@ class Phase:
     def line(self) -> str:
         return json.dumps(asdict(self), default=str)
 
+    def outputs_of(self, kind: str, target: str | None = None) -> list[str]:
+        """For hooks: the files, or else the targets, that destinations of a kind (or a kind before its dot) have written."""
+        own = [d for d in self.destinations if not d.error and kind in (d.kind, d.kind.partition(".")[0]) and target in (None, d.target)]
+        return [p for d in own for p in ([f["path"] for f in d.files] or [d.target])]
+
     @property
     def failures(self) -> list[str]:
         return [f"{d.kind} {d.target}: {d.error}" for d in self.destinations if d.error]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeferry.deltalog.table import Table, Txn
-from lakeferry.deltalog.vacuum import classify
+from lakeferry.deltalog.vacuum import classify, vacuum
 from lakeferry.functions.binary import hex_text, json_key
 from lakeferry.functions.casts import apply_casts
 from lakeferry.functions.paths import PathPattern, resolve_url, url_parts
@@ -139,6 +139,24 @@ def _(spark, d):
     return readers.query(spark, TOP).df
 
 
+def both(name: str, sql: str, *tables: str) -> None:
+    """A query whose text both engines understand."""
+    query(name, sql)(lambda spark, d: (views(spark, d, *tables), readers.query(spark, sql).df)[1])
+
+
+both("src_sql_cube", "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", "orders")
+both("src_sql_rollup", "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n, max(l_shipdate) AS latest FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem")
+both("src_sql_full_join", "SELECT coalesce(c.k, -1) AS customer, coalesce(o.k, -1) AS orderer, coalesce(o.n, 0) AS n FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) c FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) o ON c.k = o.k", "customer", "orders")
+both("src_sql_range_join", "SELECT n_nationkey, count(*) AS n FROM nation JOIN customer ON c_acctbal >= n_nationkey * 100 AND c_acctbal < n_nationkey * 100 + 50 GROUP BY n_nationkey", "nation", "customer")
+# The last earlier event of the user: one pass over each user's rows in time order instead of a join.
+both("src_sql_asof", "SELECT event_id, coalesce(max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM events", "events")
+both("src_sql_exists_scalar", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders i WHERE i.o_orderpriority = o.o_orderpriority)", "orders")
+both("src_sql_strings", "SELECT p_partkey, upper(p_name) AS u, length(p_brand) AS n, replace(p_type, ' ', '_') AS t, substring(p_name, 2, 3) AS s, concat(p_brand, '/', p_type) AS c, trim(concat(' ', p_brand, ' ')) AS r FROM part", "part")
+both("src_sql_dates", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q FROM orders", "orders")
+both("src_sql_distinct_having", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 5", "lineitem")
+both("src_sql_running", "SELECT event_id, sum(CAST(value AS decimal(18,4))) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 200 AS high, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id) AS quarter FROM events", "events")
+
+
 @query("src_csv_nulls", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_nationkey FROM customer")
 def _(spark, d):
     folder = scratch(spark)
@@ -513,6 +531,15 @@ def _(spark, d):
     return classify(spark.createDataFrame(files, "path string, modified_ms long"), keep, 50, ("_p",)).select("path", "verdict")
 
 
+@query("vacuum_run", "SELECT 1 AS selected, 1 AS deleted, count(*) AS left_rows FROM nation WHERE n_nationkey >= 10")
+def _(spark, d):
+    own, table = t(spark, d, "nation"), log_table(spark)
+    table.overwrite(own.where("n_nationkey < 10").coalesce(1))
+    table.overwrite(own.where("n_nationkey >= 10").coalesce(1))
+    r = vacuum(spark, table.store.url, retention="0 seconds", unchecked=True)
+    return table.read().agg(F.count("*").alias("left_rows")).select(F.lit(r.selected).alias("selected"), F.lit(r.deleted).alias("deleted"), "left_rows")
+
+
 # Functions
 
 

@@ -181,6 +181,7 @@ def test_failures_are_independent_and_reported(spark, tmp_path):
         run(spark, C.parse(text), Environment(env_for(tmp_path)), report=report, hooks={"hook": hook})
     line = json.loads(report.getvalue())
     assert [d["error"] is None for d in line["destinations"]] == [True, False] and (tmp_path / "out/ok.parquet").exists()
+    assert seen[0].outputs_of("pq") == [f"file://{tmp_path}/out/ok.parquet"] and seen[0].outputs_of("delta") == []
     assert [(r.kind, r.ok) for r in as_rows(spark, seen).collect()] == [("pq", True), ("delta.merge", False)]
     assert captured(spark, ["select * from five"], 3)[0]["truncated"]
 
