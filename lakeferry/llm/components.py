@@ -46,21 +46,24 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect the same nodes as the given ones, at most one for each node: to the least node of its component."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        for k in (i, j):
-            np.minimum.at(new, label[k], low)
-            np.minimum.at(new, k, low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[own], nodes[label[own]]
+class Forest:
+    """Components of the places 0 .. n - 1, joined by and by; memory holds one number for each place, however many pairs come."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            new = a != b
+            if not new.any():
+                return
+            i, j, a, b = i[new], j[new], a[new], b[new]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each place that isn't the least of its component, and that least one."""
+        own = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return own, self.root[own]

@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lakeferry.llm.base import cut, keyed, narrow_batches, utf8
-from lakeferry.llm.components import components, stars
+from lakeferry.llm.base import cut, fresh, keyed, narrow_batches, tidy, utf8
+from lakeferry.llm.components import Forest, components
 
 BITS = 64
 #: Shingles that are hashed at once.
@@ -45,7 +45,7 @@ COARSE = 16
 #: Fingerprints of a block, where one value of a partition has more.
 BLOCK = 4096
 #: Rows that a task of the join works on at once, and pairs.
-ROWS, PAIRS = 100_000, 1 << 21
+ROWS, PAIRS = 50_000, 1 << 18
 
 _OF_BYTE = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
@@ -221,7 +221,7 @@ class Plan:
 
 
 def matched(cell: np.ndarray, x: np.ndarray, role: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The linked pairs of whole cells, in rows sorted by cell."""
+    """The linked pairs of whole cells, as places in rows that are sorted by cell; at most PAIRS and one probe's at once are looked at."""
     start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     group = np.cumsum(np.concatenate(([False], cell[1:] != cell[:-1])))
     filed = np.flatnonzero(role & 1)
@@ -238,10 +238,10 @@ def matched(cell: np.ndarray, x: np.ndarray, role: np.ndarray, distance: int) ->
         left = np.repeat(own, many)
         shift = np.cumsum(many) - many
         right = filed[np.arange(many.sum()) - np.repeat(shift, many) + np.repeat(first[group[own]], many)]
-        p, q = x[left], x[right]
-        near = (np.bitwise_count(p ^ q) <= distance) & (p != q)
+        far = np.bitwise_count(x[left] ^ x[right])
+        near = (far <= distance) & (far > 0)
         if near.any():
-            yield p[near], q[near]
+            yield left[near], right[near]
         a = b
 
 
@@ -297,10 +297,12 @@ def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK, partitions
             end = len(cell) if last else int(np.flatnonzero(cell[1:] != cell[:-1])[-1]) + 1 if (cell[1:] != cell[:-1]).any() else 0
             held = [[cell[end:], x[end:], role[end:]]]
             size = len(cell) - end
-            found = list(matched(cell[:end], x[:end], role[:end], distance)) if end else []
-            for p, q in found:
-                u, v = stars(p, q)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["a", "b"])
+            forest = Forest(end)
+            for p, q in matched(cell[:end], x[:end], role[:end], distance) if end else ():
+                forest.join(p, q)
+            u, v = forest.edges()
+            u, v = u[x[u] != x[v]], v[x[u] != x[v]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[u].view(np.int64)), pa.array(x[v].view(np.int64))], ["a", "b"])
 
         for b in rows:
             held.append([unsigned(b.column(0)), unsigned(b.column(1)), b.column(2).to_numpy(zero_copy_only=False)])
@@ -309,6 +311,7 @@ def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK, partitions
                 yield from flush(False)
         if held:
             yield from flush(True)
+        tidy()
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     filed = distinct.select("fp").mapInArrow(file, "cell long, fp long, role byte")
@@ -333,8 +336,9 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = cut(classes(df, id_col, text_col, **parameters))
     first = found.where(F.col("id").eqNullSafe(F.col("component_id")))
     n = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("id").cast("string"), F.lit("")))).first()
-    stay = first.select(F.col("id").alias("__id"))
-    out = df.join(stay.distinct(), df[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    own = fresh(df, "id")
+    stay = first.select(F.col("id").alias(own)).distinct()
+    out = df.join(stay, df[id_col].eqNullSafe(stay[own]), "left_semi")
     # Ids that repeat would let several rows stay.
     return out if n[0] == n[1] else out.dropDuplicates([id_col])
 

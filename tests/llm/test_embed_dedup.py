@@ -18,14 +18,15 @@ def test_decodes_to_the_nearest_point():
     assert len(np.unique(neighbours(), axis=0)) == 240 and {int(n) for n in (neighbours() ** 2).sum(axis=1)} == {8}
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("own", [Lattice.suited(10**k) for k in (4, 6, 9)])
+def test_recall_at_the_threshold(own):
     r = np.random.default_rng(2)
     a = r.normal(size=(4000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = r.normal(size=a.shape)
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    met, own = np.zeros(len(a), bool), Lattice()
+    met = np.zeros(len(a), bool)
     for t in range(own.tables):
         p, q = own.cells(a, t), own.cells(b, t)
         met |= (p == q[:, :1]).any(axis=1) | (q == p[:, :1]).any(axis=1)

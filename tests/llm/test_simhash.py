@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
-from lakeferry.llm.components import components, stars
+from lakeferry.llm.components import Forest, components
 from lakeferry.llm.simhash import Plan, classes, deduplicated, fingerprint, grouped, links, number_of_partitions, report, thresholds, within
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,11 +106,13 @@ def test_correlated_bits_share_a_partition():
 
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1))
-def test_stars(pairs):
-    a, b = map(np.array, zip(*pairs))
-    u, v = stars(a, b)
-    nodes = set(a.tolist() + b.tolist())
-    assert union(nodes, zip(u.tolist(), v.tolist())) == union(nodes, pairs) and len(u) < max(2, len(nodes))
+def test_forest(pairs):
+    f, nodes = Forest(31), range(31)
+    for k in range(0, len(pairs), 3):
+        a, b = map(np.array, zip(*pairs[k : k + 3]))
+        f.join(a, b)
+    u, v = f.edges()
+    assert union(nodes, zip(u.tolist(), v.tolist())) == union(nodes, pairs) and dict(enumerate(f.root.tolist())) == union(nodes, pairs)
 
 
 def test_components(spark):
