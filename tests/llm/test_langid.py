@@ -90,4 +90,8 @@ def test_odd_rows(spark):
     assert empty.count() == 0
     untrained = LanguageID(docs.limit(0))
     assert d.select(untrained.predict(d.text)["lang"]).distinct().collect()[0][0] == "und"
+    extra = docs.limit(2).selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars", "'x' AS score", "1 AS rejected")
+    clash = docs.selectExpr("*", "'x' AS score", "1 AS rejected").union(extra)
+    found = report(clash)
+    assert found.columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"] and found.count() == 202 and found.where("doc_id IS NULL AND NOT held_out AND lang_pred <> 'und'").count() == 2
     assert LanguageID(docs, max_ngrams=3000).model.hashes[-1].size <= 3000

@@ -41,5 +41,13 @@ def test_rows(spark, parts):
         assert [s for s, _ in own] == list(range(len(own))) and [d for _, d in own] == sorted(d for _, d in own)
 
 
+def test_null_ids_and_clashing_columns(spark):
+    df = spark.createDataFrame([(None, "a", "x", 1), (None, "a", "x", 1), (3, None, None, 2), (1, "b", "y", None)], "doc_id long, text string, slot string, size int")
+    got = shard_rows(df, shards=2).collect()
+    assert len(got) == 4 and len({r.shard for r in got if r.doc_id is None}) == 1
+    for k in (0, 1):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
 def test_empty(spark):
     assert shard_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
