@@ -53,12 +53,16 @@ def parts(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 2.0, most: int = 20_000) -> dict[str, float]:
-    """Entries with their log-odds in toxic texts, where at least `least` of those have them and the odds stand out."""
+def counted(texts: list[str], toxic: np.ndarray) -> tuple[Counter, Counter]:
+    """In how many texts without and with the label each entry is."""
     counts = (Counter(), Counter())
     for t, y in zip(texts, toxic, strict=True):
         counts[int(y)].update({p for w in set(WORD.findall(t.lower())) for p in parts(w)})
-    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()], float)
+    return counts
+
+
+def chosen(counts: tuple[Counter, Counter], n: tuple[int, int], least: int = 4, odds: float = 2.0, most: int = 20_000) -> dict[str, float]:
+    """Entries with their log-odds in toxic texts, where at least `least` of those have them and the odds stand out. n: texts of either kind."""
     found = {}
     for p, k in counts[1].items():
         if k >= least:
@@ -68,22 +72,39 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, odds: flo
     return dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
 
 
+def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
+    return chosen(counted(texts, toxic), (int((toxic == 0).sum()), int((toxic == 1).sum())))
+
+
+Entry = tuple[float, bool, bool, bool] | tuple[()]
+
+
 class Lexicon:
-    """What each word counts for; words that come often are remembered."""
+    """What each word counts for: () for most, else its learnt log-odds (0 without), and whether it is an insult, a second-person word, and
+    all in capitals. Words that come often are remembered."""
 
     def __init__(self, learnt: dict[str, float]):
         self.learnt = learnt
-        self.known: dict[str, tuple[float, bool]] = {}
+        self.known: dict[str, Entry] = {}
+
+    def __call__(self, word: str) -> Entry:
+        low = word.lower()
+        found = (max((self.learnt.get(p, 0.0) for p in parts(low)), default=0.0), low in INSULTS, low in SECOND, len(word) > 1 and word.isupper())
+        return found if any(found) else ()
+
+    def of(self, words: list[str]) -> list[tuple[int, Entry]]:
+        """The places of words that count for something, and what for."""
+        known = self.known
+        if new := set(words).difference(known):
+            if len(known) > 300_000:
+                known.clear()
+                new = set(words)
+            known.update((w, self(w)) for w in new)
+        return [(k, e) for k, e in enumerate(map(known.__getitem__, words)) if e]
 
-    def __call__(self, word: str) -> tuple[float, bool]:
-        """The learnt log-odds of a word, 0 if it has none, and whether it is an insult or stands for one."""
-        if (found := self.known.get(word)) is None:
-            low = word.lower()
-            found = (max((self.learnt.get(p, 0.0) for p in parts(low)), default=0.0), low in INSULTS)
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[word] = found
-        return found
+    def hit(self, word: str) -> bool:
+        """Is it an insult, or does it stand for one?"""
+        return bool(e := self(word)) and (e[1] or e[0] >= 3)
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
@@ -92,11 +113,11 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     if not n:
         marks = sum(not c.isspace() for c in text)
         return [0.0] * NAMES.index("punctuation") + [float(marks > 0)] + [0.0] * (len(NAMES) - NAMES.index("punctuation") - 1)
-    scores = [lexicon(w) for w in words]
-    fixed = [k for k, (_, f) in enumerate(scores) if f]
-    learnt = [s for s, _ in scores if s]
-    hits = [k for k, (s, f) in enumerate(scores) if f or s >= 3]
-    second = [k for k, w in enumerate(words) if len(w) < 12 and w.lower() in SECOND]
+    entries = lexicon.of(words)
+    fixed = [k for k, e in entries if e[1]]
+    learnt = [e[0] for _, e in entries if e[0]]
+    hits = [k for k, e in entries if e[1] or e[0] >= 3]
+    second = [k for k, e in entries if e[2]]
     near = 0
     if hits and second:
         at = np.array(second)
@@ -107,15 +128,15 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     small = text.lower()
     capitals = sum(map(str.isupper, text)) if small != text else 0
     odd = [c for c in CHUNK.findall(text) if MASKED.search(c)] if MASKED.search(text) else []
-    undone = [c for c in odd if any(w in INSULTS or lexicon(w)[0] >= 3 for w in WORD.findall(c.lower().translate(LEET).replace("*", "")))]
+    undone = [c for c in odd if any(map(lexicon.hit, WORD.findall(c.lower().translate(LEET).replace("*", ""))))]
     drawn = [m for m in DRAWN.finditer(text)]
-    undone += [m for m in drawn if any(f for _, f in map(lexicon, WORD.findall(DRAWN.sub(r"\1", text[max(0, m.start() - 20) : m.end() + 20]))))]
+    undone += [m for m in drawn if any(w.lower() in INSULTS for w in WORD.findall(DRAWN.sub(r"\1", text[max(0, m.start() - 20) : m.end() + 20])))]
     spelled = [re.sub(r"[ .\-_*]", "", m[0]).lower() for m in SPELLED.finditer(text)]
     undone += [w for w in spelled if w in INSULTS]
     alnum = sum(map(len, words))
     return [
         np.log1p(n), len(fixed) / n, np.log1p(len(fixed)), sum(learnt) / n, np.log1p(len(learnt)), np.log1p(sum(s >= 4 for s in learnt)), max(learnt, default=0.0), len(hits) / n,
-        len(second) / n, near / n, capitals / chars, sum(w.isupper() and len(w) > 1 for w in words) / n, max(0, chars - alnum - (n - 1)) / chars, text.count("!") / chars,
+        len(second) / n, near / n, capitals / chars, sum(e[3] for _, e in entries) / n, max(0, chars - alnum - (n - 1)) / chars, text.count("!") / chars,
         len(odd) / n, len(drawn) / n, len(spelled) / n, np.log1p(len(undone)), min(40, max(map(len, words))), len(set(words)) / n, sum(map(str.isdigit, text)) / chars if any(c in text for c in "0123456789") else 0.0,
     ]
 
@@ -220,15 +241,18 @@ def fit(texts: list[str], labels: np.ndarray, folds: int = 3) -> Scorer:
         return Scorer({}, None, np.zeros(1), np.array([labels.mean() if len(labels) else 0.5]))
     y, fold = labels.astype(float), np.array([zlib.crc32(t.encode()) // 7 % folds for t in texts])
     x, raw = np.zeros((len(texts), len(NAMES))), np.zeros(len(texts))
+    each = [counted([texts[i] for i in np.flatnonzero(fold == k)], labels[fold == k]) for k in range(folds)]
+    total = (sum((c[0] for c in each), Counter()), sum((c[1] for c in each), Counter()))
+    kinds = lambda own: (int((own == 0).sum()), int((own == 1).sum()))
     for k in range(folds):
-        own, other = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-        lexicon = Lexicon(learn_lexicon([texts[i] for i in other], labels[other]))
+        own = np.flatnonzero(fold == k)
+        lexicon = Lexicon(chosen((total[0] - each[k][0], total[1] - each[k][1]), kinds(labels[fold != k])))
         x[own] = np.array([features(texts[i], lexicon) for i in own]).reshape(len(own), len(NAMES))
     for k in range(folds):
         own, other = fold == k, fold != k
         if own.any():
             raw[own] = Boosted().fit(x[other], y[other])(x[own]) if other.any() else 0
-    return Scorer(learn_lexicon(texts, labels), Boosted().fit(x, y), *isotonic(raw, y))
+    return Scorer(chosen(total, kinds(labels)), Boosted().fit(x, y), *isotonic(raw, y))
 
 
 #: In a Python worker, the model that it used last.
