@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakeferry.deltalog import vectors
 from lakeferry.deltalog.log import TableLog, commit_info, decoded_path, encoded_path, now_ms, protocol, removal, schema_string, Snapshot
@@ -25,6 +26,8 @@ from lakeferry.operators.stats import as_watermark, file_stats, is_stale, ordere
 from lakeferry.operators.strategies import MergeError, MergeStats, refuse_null_keys
 
 OVERWRITE_ATTEMPTS, MERGE_ATTEMPTS = 10, 3
+#: Bits of a row's number beside its file's, and how many marked rows and files are broadcast at most.
+ROW_BITS, MARKED_BROADCAST, FILES_BROADCAST = 40, 4_000_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,19 @@ class Txn:
     batch_version: int | None = None
 
 
+@dataclass(frozen=True)
+class StagedMerge:
+    """A merge whose files are written and whose commit is to come; skipped: the version for which there is nothing to do."""
+
+    adds: list[dict]
+    keys: list[str]
+    null_safe: bool
+    txn: Txn | None
+    version: int | None
+    schema: StructType
+    skipped: int | None = None
+
+
 def _file_key(c):
     """A file's URL in one spelling."""
     return F.regexp_replace(c, "^file:/+", "file:/")
@@ -65,9 +81,7 @@ class Table:
             return self.spark.createDataFrame([], schema)
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    def schema(self, own: Snapshot):
-        from pyspark.sql.types import StructType
-
+    def schema(self, own: Snapshot) -> StructType:
         return StructType.fromJson(json.loads(own.metadata["schemaString"]))
 
     def _scan(self, paths: Sequence[str], schema, *where: str) -> DataFrame:
@@ -76,20 +90,29 @@ class Table:
         return df.select("*", *meta)
 
     def _live(self, rows: DataFrame, own: Snapshot, paths: Sequence[str]) -> DataFrame:
-        """Rows (with __file and __row) that no vector marks. The vectors are spread over the executors, one row for each file."""
-        dvs = [(self.store.full(decoded_path(p)), vectors.encode(vectors.load(self.store, vectors.Descriptor.of(own.files[p]["deletionVector"])))) for p in sorted(paths)]
+        """Rows (with __file and __row) that no vector marks: an anti join on file number and row number, packed into one whole number.
+
+        Vectors are spread over the executors, one row for each file. How many rows they mark is known beforehand: up to MARKED_BROADCAST
+        they are broadcast, so that the table's rows stay where they are; beyond it both sides shuffle.
+        """
+        paths = sorted(paths)
+        marks = [vectors.Descriptor.of(own.files[p]["deletionVector"]) for p in paths]
+        names = self.spark.createDataFrame([(self.store.full(decoded_path(p)), k) for k, p in enumerate(paths)], "__name string, __id long")
+        dvs = self.spark.createDataFrame([(k, vectors.encode(vectors.load(self.store, m))) for k, m in enumerate(marks)], "id long, data binary")
 
         def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
-                for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    own_rows = vectors.decode(data)
-                    for at in range(0, len(own_rows), 100_000):
-                        some = own_rows[at : at + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some)], ["__df", "__dr"])
-
-        gone = self.spark.createDataFrame(dvs, "name string, data binary").mapInArrow(spread, "__df string, __dr long")
-        gone = gone.select(_file_key(F.col("__df")).alias("__df"), "__dr")
-        return rows.join(gone, (_file_key(F.col("__file")) == F.col("__df")) & (F.col("__row") == F.col("__dr")), "left_anti")
+                for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    marked = (k << ROW_BITS) + vectors.decode(data)
+                    for at in range(0, len(marked), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(marked[at : at + 100_000])], ["__gone"])
+
+        gone = dvs.mapInArrow(spread, "__gone long")
+        if sum(m.cardinality for m in marks) <= MARKED_BROADCAST:
+            gone = F.broadcast(gone)
+        names = F.broadcast(names) if len(paths) <= FILES_BROADCAST else names
+        placed = rows.join(names, _file_key(F.col("__file")) == _file_key(F.col("__name")), "left")  # files without a vector keep all rows
+        return placed.join(gone, F.shiftleft(F.col("__id"), ROW_BITS) + F.col("__row") == F.col("__gone"), "left_anti").drop("__name", "__id")
 
     # writing
 
@@ -101,7 +124,11 @@ class Table:
             writer = writer.option("maxRecordsPerFile", max_rows)
         for c in bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.parquet(self.store.full(folder))
+        try:
+            writer.parquet(self.store.full(folder))
+        except Exception:
+            self.store.delete(folder)
+            raise
         sizes = {x.path.rpartition("/")[2]: x for x in self.store.list(folder) if x.path.endswith(".parquet")}
         written = self.spark.read.schema(df.schema).parquet(self.store.full(folder))
         stats = file_stats(written, [F.col("_metadata.file_name").alias("__name")])
@@ -132,7 +159,10 @@ class Table:
         """The table holds df's rows and nothing else, in df's schema; an empty df empties it. The new version."""
         columns = list(columns or from_schema(df.schema))
         self.ensure(df, columns)
-        adds = self.stage(df, max_rows=max_rows)
+        return self.replace(self.stage(df, max_rows=max_rows), columns)
+
+    def replace(self, adds: list[dict], columns: list[ColumnSpec]) -> int:
+        """Commit staged files as all that the table holds."""
 
         def work(own: Snapshot) -> list[dict]:
             features = own.features | {"timestampNtz"}
@@ -146,10 +176,11 @@ class Table:
             raise
 
     def merge(self, df: DataFrame, keys: Sequence[str], *, columns: Sequence[ColumnSpec] | None = None, allow_null_keys: bool = False, txn: Txn | None = None, max_rows: int | None = None) -> MergeStats:
-        """Rows whose key df has go, all rows of df come. With a txn that isn't newer than what it committed, nothing happens.
+        """Rows whose key df has go, all rows of df come. With a txn that isn't newer than what it committed, nothing happens."""
+        return self.commit_merge(self.stage_merge(df, keys, columns=columns, allow_null_keys=allow_null_keys, txn=txn, max_rows=max_rows))
 
-        Keys are checked, and the txn's version compared, before a file is written.
-        """
+    def stage_merge(self, df: DataFrame, keys: Sequence[str], *, columns: Sequence[ColumnSpec] | None = None, allow_null_keys: bool = False, txn: Txn | None = None, max_rows: int | None = None) -> StagedMerge:
+        """Everything of a merge but its commit. Keys are checked, and the txn's version compared, before a file is written."""
         if not keys:
             raise MergeError("merge_keys cannot be empty")
         if unknown := [k for k in keys if k not in df.columns]:
@@ -165,23 +196,28 @@ class Table:
             if txn.watermark_column:
                 version = df.agg(F.max(as_watermark(F.col(f"`{txn.watermark_column}`"), df.schema[txn.watermark_column].dataType))).first()[0]
             if is_stale(version, own.txns.get(txn.app_id)):
-                return MergeStats(0, 0, 0, skipped=True, skipped_version=own.txns[txn.app_id])
-        adds = self.stage(df, max_rows=max_rows, bloom=keys)
+                return StagedMerge([], list(keys), allow_null_keys, txn, version, df.schema, own.txns[txn.app_id])
+        return StagedMerge(self.stage(df, max_rows=max_rows, bloom=keys), list(keys), allow_null_keys, txn, version, df.schema)
+
+    def commit_merge(self, staged: StagedMerge) -> MergeStats:
+        adds, keys, txn = staged.adds, staged.keys, staged.txn
+        if staged.skipped is not None:
+            return MergeStats(0, 0, 0, skipped=True, skipped_version=staged.skipped)
         n = sum(json.loads(a["stats"])["numRecords"] for a in adds)
         if not n:
             self.discard(adds)
             return MergeStats(0, 0, 0)
-        source = self.spark.read.schema(df.schema).parquet(*(self.store.full(decoded_path(a["path"])) for a in adds))
+        source = self.spark.read.schema(staged.schema).parquet(*(self.store.full(decoded_path(a["path"])) for a in adds))
         out: dict = {}
 
         def work(now: Snapshot) -> list[dict] | None:
-            if txn and is_stale(version, now.txns.get(txn.app_id)):
+            if txn and is_stale(staged.version, now.txns.get(txn.app_id)):
                 out["skipped"] = now.txns[txn.app_id]
                 return None
-            marks = self._marks(now, source, adds, keys, allow_null_keys)
-            actions = [commit_info("MERGE", mergeKeys=json.dumps(list(keys)))]
-            if txn and version is not None:
-                actions.append({"txn": {"appId": txn.app_id, "version": version, "lastUpdated": now_ms()}})
+            marks = self._marks(now, source, adds, keys, staged.null_safe)
+            actions = [commit_info("MERGE", mergeKeys=json.dumps(keys))]
+            if txn and staged.version is not None:
+                actions.append({"txn": {"appId": txn.app_id, "version": staged.version, "lastUpdated": now_ms()}})
             if marks and "deletionVectors" not in now.features:
                 actions += [{"protocol": protocol("deletionVectors", *now.features)}, {"metaData": now.metadata | {"configuration": now.configuration | {"delta.enableDeletionVectors": "true"}}}]
             replaced = []
@@ -233,7 +269,7 @@ class Table:
         rows = self._scan(paths, schema, "__file", "__row").select(*(F.col(f"`{k}`") for k in keys), "__file", "__row")
         if marked := [p for p in paths if own.files[p].get("deletionVector")]:
             rows = self._live(rows, own, marked)
-        want = source.select(*(F.col(f"`{k}`").cast(schema[k].dataType).alias(f"__k{i}") for i, k in enumerate(keys))).distinct()
+        want = source.select(*(F.col(f"`{k}`").cast(schema[k].dataType).alias(f"__k{i}") for i, k in enumerate(keys)))
         on = F.lit(True)
         for i, k in enumerate(keys):
             on = on & (F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) if null_safe else F.col(f"`{k}`") == F.col(f"__k{i}"))

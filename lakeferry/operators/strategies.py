@@ -63,7 +63,7 @@ def sql_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *, chec
         if not hit.isEmpty():
             raise MergeError("a target row is matched by more than one source row")
     _aliased(target, keys)
-    return target.join(own.distinct(), _matches(target, keys, False), "left_anti").unionByName(source)
+    return target.join(own, _matches(target, keys, False), "left_anti").unionByName(source)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], *, allow_null_keys: bool = False, check: bool = True) -> DataFrame:
@@ -74,7 +74,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], *, allow_n
     own, _ = _aliased(source, keys), _aliased(target, keys)
     if check and not allow_null_keys:
         refuse_null_keys(source, keys)
-    return target.join(own.distinct(), _matches(target, keys, allow_null_keys), "left_anti").unionByName(source)
+    # Repeated keys do no harm to an anti join; to remove them first would cost a shuffle of its own.
+    return target.join(own, _matches(target, keys, allow_null_keys), "left_anti").unionByName(source)
 
 
 def refuse_null_keys(source: DataFrame, keys: Sequence[str]) -> None:
@@ -87,7 +88,7 @@ def refuse_null_keys(source: DataFrame, keys: Sequence[str]) -> None:
 
 def matched_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], *, null_safe: bool = False) -> DataFrame:
     """The target rows whose key the source has."""
-    return target.join(_aliased(source, keys).distinct(), _matches(target, keys, null_safe), "left_semi")
+    return target.join(_aliased(source, keys), _matches(target, keys, null_safe), "left_semi")
 
 
 @dataclass(frozen=True)

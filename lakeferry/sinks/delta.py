@@ -1,4 +1,4 @@
-"""Tables under a log as destinations. Both modes commit at the very end, so that prepare only holds on to the rows."""
+"""Tables under a log as destinations: preparing writes the files, publishing commits them."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeferry.deltalog.table import Table, Txn
+from lakeferry.deltalog.table import StagedMerge, Table, Txn
 from lakeferry.functions.types import ColumnSpec
-from lakeferry.operators.strategies import refuse_null_keys
 from lakeferry.plans.outcome import Outcome
 
 
@@ -18,17 +17,21 @@ class DeltaSink:
         self.kind = "delta.merge" if merge_keys else "delta.overwrite"
         self.table, self.target, self.columns = Table(spark, url), target, list(columns)
         self.keys, self.nulls, self.txn, self.max_rows = list(merge_keys), allow_null_keys, txn, max_rows
+        self.adds: list[dict] = []
+        self.staged: StagedMerge | None = None
 
     def prepare(self, df: DataFrame, columns: list[ColumnSpec]) -> None:
-        self.df, self.own = df, columns
-        if self.keys and not self.nulls:
-            refuse_null_keys(df, self.keys)
+        self.own = columns
+        if self.keys:
+            self.staged = self.table.stage_merge(df, self.keys, columns=columns, allow_null_keys=self.nulls, txn=self.txn, max_rows=self.max_rows)
+        else:
+            self.table.ensure(df, columns)
+            self.adds = self.table.stage(df, max_rows=self.max_rows)
 
     def publish(self) -> Outcome:
         if self.keys:
-            stats = self.table.merge(self.df, self.keys, columns=self.own, allow_null_keys=self.nulls, txn=self.txn, max_rows=self.max_rows)
-            return Outcome(self.kind, self.target, commit=asdict(stats))
-        return Outcome(self.kind, self.target, commit={"version": self.table.overwrite(self.df, self.own, max_rows=self.max_rows)})
+            return Outcome(self.kind, self.target, commit=asdict(self.table.commit_merge(self.staged)))
+        return Outcome(self.kind, self.target, commit={"version": self.table.replace(self.adds, self.own)})
 
     def abort(self) -> None:
-        pass
+        self.table.discard(self.staged.adds if self.staged else self.adds)

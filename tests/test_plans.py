@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeferry import cli
+from lakeferry.deltalog.log import TableLog
 from lakeferry.deltalog.table import Table
 from lakeferry.plans import config as C
 from lakeferry.plans.config import ConfigError
@@ -168,9 +169,18 @@ def test_bad_rows_leave_nothing(spark, tmp_path):
     assert left == []
 
 
-def test_failures_are_independent_and_reported(spark, tmp_path):
+def test_a_bad_row_of_one_destination_stops_all(spark, tmp_path):
+    spark.createDataFrame([("1",), ("b",)], "v string").createOrReplaceTempView("half_bad")
+    text = "tables: [{name: half_bad, src: table, destinations: [{dest: pq, filename: ok.parquet}, {dest: delta.overwrite, target: d, columns: [{type: integer, name: v}]}, {dest: delta.merge, target: m, merge_keys: [v]}]}]"
+    with pytest.raises(Exception, match="(?i)cast"):
+        run(spark, C.parse(text), Environment(env_for(tmp_path)))
+    assert [p for p in (tmp_path / "out").rglob("*.parquet")] == [] and Table(spark, f"{tmp_path}/out/d").read().count() == 0
+
+
+def test_failures_are_independent_and_reported(spark, tmp_path, monkeypatch):
     spark.range(5).createOrReplaceTempView("five")
-    text = "tables: [{name: five, src: table, finalize: [{run: hook}], destinations: [{dest: pq, filename: ok.parquet}, {dest: delta.merge, target: d, merge_keys: [nope], allow_null_keys: true}]}]"
+    text = "tables: [{name: five, src: table, finalize: [{run: hook}], destinations: [{dest: pq, filename: ok.parquet}, {dest: delta.merge, target: d, merge_keys: [id]}]}]"
+    monkeypatch.setattr(TableLog, "commit", lambda self, version, actions, old=TableLog.commit: old(self, version, actions) if version == 0 else (_ for _ in ()).throw(OSError("disk full")))
     report, seen = io.StringIO(), []
 
     def hook(phase):
