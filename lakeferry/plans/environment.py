@@ -15,7 +15,7 @@ PREFIX = "FERRY_"
 HINT_ENDINGS = ("UUID", "INT", "BIGINT", "SMALLINT", "BOOL", "TIMESTAMP", "TIMESTAMPTZ", "TEXT", "VARCHAR", "REAL", "DOUBLE", "DATE", "JSONB", "BYTEA")
 
 
-class EnvironmentError_(KeyError):
+class MissingVariable(KeyError):
     """A variable that must be set and isn't."""
 
     def __str__(self) -> str:
@@ -57,7 +57,7 @@ class Environment:
         """The most specific location: FERRY_SRC_<ident>, _<IDENT_IN_CAPITALS>, _<KIND>, or FERRY_SRC alone; likewise FERRY_DEST."""
         tried = [f"{PREFIX}{base}_{ident}", f"{PREFIX}{base}_{shouty(ident)}", f"{PREFIX}{base}_{kind.upper()}", f"{PREFIX}{base}"]
         if (found := self.get(*tried)) is None:
-            raise EnvironmentError_(f"no location; set one of {', '.join(tried)}")
+            raise MissingVariable(f"no location; set one of {', '.join(tried)}")
         return found
 
     def kind_of(self, base: str) -> str | None:
@@ -101,7 +101,7 @@ class Environment:
         by = {p.name.lower(): p for p in reversed(self.parameters)}
         missing = [k for k in keys if k.lower() not in by]
         if missing:
-            raise EnvironmentError_(f"expected {len(keys)} parameters, {len(keys) - len(missing)} are set; missing: {', '.join(missing)}")
+            raise MissingVariable(f"expected {len(keys)} parameters, {len(keys) - len(missing)} are set; missing: {', '.join(missing)}")
         return [by[k.lower()] for k in keys]
 
     def key_value(self, table: str, column: str) -> Parameter:
@@ -111,4 +111,4 @@ class Environment:
         for n in names:
             if n in by:
                 return by[n]
-        raise EnvironmentError_(f"no value for {column}; set {PREFIX}PARAM_{names[0]} or {PREFIX}PARAM_{names[1]}")
+        raise MissingVariable(f"no value for {column}; set {PREFIX}PARAM_{names[0]} or {PREFIX}PARAM_{names[1]}")

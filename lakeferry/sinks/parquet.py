@@ -14,7 +14,7 @@ from lakeferry.plans.outcome import Outcome
 from lakeferry.sources.store import Store
 
 
-class NameError_(ValueError):
+class FileNameError(ValueError):
     """File names that would collide."""
 
 
@@ -28,7 +28,7 @@ class ParquetSink:
         self.target, self.columns, self.namer = target, list(columns), namer
         self.one = namer(0) == namer(1)
         if self.one and (max_rows or max_bytes):
-            raise NameError_(f"{target}: files rotate, but their name {namer(0)!r} doesn't hold the index")
+            raise FileNameError(f"{target}: files rotate, but their name {namer(0)!r} doesn't hold the index")
         self.store, self.bloom, self.max_rows, self.max_bytes = Store(spark, url), bloom_filters, max_rows, max_bytes
         self.folder = f"_staging-{uuid.uuid4().hex}"
 
@@ -44,13 +44,12 @@ class ParquetSink:
         self.schema = df.schema
         self._write(df.coalesce(1) if self.one else df, self.max_rows)
         self.files = self._files()
-        if self.max_bytes and (largest := max((x.size for x in self.files), default=0)) > self.max_bytes:
+        if self.max_bytes and max((x.size for x in self.files), default=0) > self.max_bytes:
             # Bytes are known only once written: so many rows a file as have them on average.
             rows = self._counted()
             per = max(1, math.floor(sum(rows.values()) * self.max_bytes / max(1, sum(x.size for x in self.files))))
             self._write(df, min(per, self.max_rows or per))
             self.files = self._files()
-            self.largest = largest
         self.rows = self._counted()
         if empty := [x for x in self.files if not self.rows.get(x.path.rpartition("/")[2])]:
             # Empty partitions leave no file; an empty load leaves one, so that no older file passes for its result.

@@ -17,7 +17,7 @@ from lakeferry.plans.environment import Environment
 from lakeferry.plans.outcome import TaskError, as_rows
 from lakeferry.plans.runner import captured, run, split_role
 from lakeferry.plans.templates import TemplateError, context, render, shouty
-from lakeferry.sinks.parquet import NameError_
+from lakeferry.sinks.parquet import FileNameError
 from lakeferry.sources import readers
 from lakeferry.sources.readers import SourceError
 
@@ -148,7 +148,7 @@ def test_run_command_and_parameters(spark, tmp_path):
 def test_one_file_or_an_index(spark, tmp_path):
     bad = C.parse("src: table\ndest: pq\ntables: [{name: nation_view, filename: x.parquet, max_rows: 3}]")
     spark.read.parquet(f"{DATA}/nation.parquet").createOrReplaceTempView("nation_view")
-    with pytest.raises(NameError_, match="index"):
+    with pytest.raises(FileNameError, match="index"):
         run(spark, bad, Environment(env_for(tmp_path)))
 
 
