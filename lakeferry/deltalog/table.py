@@ -24,6 +24,7 @@ from lakeferry.deltalog.log import TableLog, commit_info, decoded_path, encoded_
 from lakeferry.functions.types import ColumnSpec, from_schema
 from lakeferry.operators.stats import as_watermark, file_stats, is_stale, ordered, stat_text
 from lakeferry.operators.strategies import MergeError, MergeStats, refuse_null_keys
+from lakeferry.shipping import ship
 
 OVERWRITE_ATTEMPTS, MERGE_ATTEMPTS = 10, 3
 #: Bits of a row's number beside its file's, and how many marked rows and files are broadcast at most.
@@ -59,6 +60,7 @@ def _file_key(c):
 
 class Table:
     def __init__(self, spark: SparkSession, url: str):
+        ship(spark)
         self.spark, self.log = spark, TableLog(spark, url)
         self.store = self.log.store
 

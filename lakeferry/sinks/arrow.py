@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from lakeferry.functions.types import ColumnSpec
 from lakeferry.plans.outcome import Outcome
+from lakeferry.shipping import ship
 
 
 class ArrowSink:
@@ -21,6 +22,7 @@ class ArrowSink:
         self.out, self.target, self.columns = out, target, list(columns)
 
     def prepare(self, df: DataFrame, columns: list[ColumnSpec]) -> None:
+        ship(df.sparkSession)
         schema = df.limit(0).toArrow().schema
 
         def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
