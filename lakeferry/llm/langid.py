@@ -32,6 +32,8 @@ ORDER = 4
 #: Characters that are worked on at once.
 PIECE = 1 << 19
 SPACE = 32
+#: Log-probabilities of the highest order in a set of models: 48 MB, so that driver and executors hold them easily.
+MAX_CELLS = 12_000_000
 
 
 @lru_cache(1)
@@ -288,7 +290,8 @@ _MODELS: dict[str, Model] = {}
 class LanguageID:
     """Fits on the rows of df with a language; then predicts for any texts.
 
-    max_ngrams: of the highest order, for all languages together, in the models. max_languages: more than that is an error.
+    max_ngrams: of the highest order, for all languages together, in the models; fewer where MAX_CELLS bounds n-grams times languages.
+    max_languages: more than that is an error.
     calibration_rows: about so many texts, chosen by a hash among those of up to calibration_chars characters, calibrate confidence
     and rejection.
     """
@@ -299,6 +302,11 @@ class LanguageID:
         counts = cut(count_ngrams(df, lang_col, text_col))
         # How many n-grams have each count, in powers of two: the least count of those that are kept.
         step = F.floor(F.log2("n")).cast("int").alias("step")
+        # Each n-gram has a number for each language: their product is bounded too.
+        many = counts.select("lang").distinct().count()
+        if many > max_languages:
+            raise ValueError(f"{many} languages")
+        max_ngrams = min(max_ngrams, MAX_CELLS // max(1, many))
         left, least = max_ngrams, 1
         for r in counts.groupBy(step).count().orderBy(F.desc("step")).collect():
             left -= r["count"]
@@ -308,8 +316,6 @@ class LanguageID:
         kept = counts.where(F.col("n") >= least).toArrow() if least > 1 or left < max_ngrams else counts.limit(0).toArrow()
         lang, gram, n = (kept.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
         languages = sorted(set(lang))
-        if len(languages) > max_languages:
-            raise ValueError(f"{len(languages)} languages")
         own = [(gram[lang == k].view(np.uint64), n[lang == k]) for k in languages]
         own = [(k[by], c[by]) for k, c in own for by in [np.argsort(k)]]
         model = kneser_ney(languages, own) if languages else Model([])
