@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from lakeferry.llm.base import narrow_batches, tidy
 
-#: Pre-tokens of up to so many characters are remembered, and so many of them at once.
-CACHED_CHARS, CACHED = 40, 200_000
+#: Pre-tokens of up to so many characters are remembered, and about so many of them at once.
+CACHED_CHARS, CACHED = 40, 250_000
+#: Characters of texts whose pre-tokens are held at once; a longer text is held alone.
+TOGETHER = 1_000_000
 #: Rows of an Arrow batch: ids take far more room as Python integers than texts do.
 ROWS = 500
 
@@ -105,24 +108,40 @@ class Codec:
         return {p: tuple(map(shared, self.whole.get(r, ids))) for p, r, ids in zip(pieces, raw, self._merged(raw), strict=True)}
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        known, own = self.known, {}
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            if len(known) > CACHED:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            own = self._learn(new)
-            known.update((p, ids) for p, ids in own.items() if len(p) <= CACHED_CHARS)
-            own = {p: ids for p, ids in own.items() if len(p) > CACHED_CHARS}
-        if own:
-            return list(chain.from_iterable(own[p] if p in own else known[p] for p in pieces))
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Sequence[str]) -> Iterator[list[int]]:
+        """The ids of each text. New pre-tokens of several texts are merged at once; texts are taken together up to TOGETHER characters."""
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= TOGETHER:
+                size += len(texts[end])
+                end += 1
+            pieces = [self.split(t) for t in texts[at:end]]
+            all_pieces = set().union(*pieces)
+            new = all_pieces.difference(self.known)
+            if len(self.known) + len(new) > CACHED:  # what is seen again just now is likely to be common
+                self.known = {p: self.known[p] for p in all_pieces.intersection(self.known)}
+            if new:
+                self.known.update(self._learn(list(new)))
+            ids = self.known.__getitem__
+            for own in pieces:
+                yield list(chain.from_iterable(map(ids, own)))
+            for p in new:
+                if len(p) > CACHED_CHARS:
+                    del self.known[p]
+            at = end
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def packed(ids: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
 @lru_cache(2)
 def codec(vocabulary: bytes, pattern: str) -> Codec:
     """One codec for each Python worker."""
@@ -147,7 +166,7 @@ class ByteBPE:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             own = codec(sent.value, pattern)
-            return pa.array([own.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+            return packed([np.array(x, np.int32) for x in own.encode_all([t or "" for t in texts.to_pylist()])])
 
         @F.arrow_udf("binary")
         def decode(ids: pa.Array) -> pa.Array:
@@ -156,10 +175,12 @@ class ByteBPE:
 
         @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
         def both(texts: pa.Array) -> pa.Array:
-            own = codec(sent.value, pattern)
-            ids = [own.encode(t or "") for t in texts.to_pylist()]
-            out = pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.binary())], ["ids", "decoded"])
-            del ids
+            own, ids, back = codec(sent.value, pattern), [], []
+            for x in own.encode_all([t or "" for t in texts.to_pylist()]):
+                ids.append(np.array(x, np.int32))
+                back.append(own.decode(x))
+            out = pa.StructArray.from_arrays([packed(ids), pa.array(back, pa.binary())], ["ids", "decoded"])
+            del ids, back
             tidy()
             return out
 
