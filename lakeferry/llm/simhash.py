@@ -322,25 +322,32 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dista
     """id, fp (long), component_id of each row."""
     narrow_batches(df.sparkSession)
     rows = cut(keyed(df, id_col, text_col).select("id", fingerprints(F.col("text"), size, seed).alias("fp")))
-    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    root = components(links(distinct, distance, block))
-    linked = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = cut(linked)
+    linked = rooted(rows, F.min("id"), distance, block)
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.join(ids, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("id", "fp", "component_id")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """One row of each component: that with the least id. Columns and their order stay."""
-    found = cut(classes(df, id_col, text_col, **parameters))
-    first = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    n = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("id").cast("string"), F.lit("")))).first()
-    own = fresh(df, "id")
-    stay = first.select(F.col("id").alias(own)).distinct()
-    out = df.join(stay, df[id_col].eqNullSafe(stay[own]), "left_semi")
-    # Ids that repeat would let several rows stay.
-    return out if n[0] == n[1] else out.dropDuplicates([id_col])
+def rooted(rows: DataFrame, least: Column, distance: int, block: int) -> DataFrame:
+    """fp, least, root of each fingerprint of the rows. least: an aggregate of its rows; root: one fingerprint of each component."""
+    distinct = cut(rows.groupBy("fp").agg(least.alias("least")))
+    root = components(links(distinct, distance, block))
+    return cut(distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, size: int = 3, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """One row of each component: that with the least id, a null id being the last. Columns and their order stay.
+
+    Rows get a number of their own, as ids may repeat or be null; of several rows with the least id the first stays.
+    """
+    narrow_batches(df.sparkSession)
+    number, fp = fresh(df, "number"), fresh(df, "fp")
+    # Row numbers must hold when a lost task runs again: they are written, not computed twice.
+    whole = cut(df.withColumn(number, F.monotonically_increasing_id()).withColumn(fp, fingerprints(F.col(f"`{text_col}`"), size, seed)))
+    rows = whole.select(F.col(f"`{id_col}`").alias("id"), F.col(number).alias("number"), F.col(fp).alias("fp"))
+    linked = rooted(rows, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")), distance, block)
+    stay = linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.number").alias(number))
+    return whole.join(stay, number, "left_semi").select(*(f"`{c}`" for c in df.columns))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

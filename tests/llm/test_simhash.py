@@ -141,3 +141,11 @@ def test_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in own.values()})
     assert classes(df.limit(0)).count() == 0
+
+
+def test_ids_that_repeat_or_are_null_lose_no_component(spark):
+    texts = [" ".join(f"{w}{k * k}" for k in range(40)) for w in ("red", "green", "blue", "black", "white", "brown")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[3]), (None, texts[5]), (8, texts[5]), (3, texts[5]), (None, texts[0])]
+    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
