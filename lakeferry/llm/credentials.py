@@ -2,7 +2,8 @@
 
 Natural words, in any case, take few tokens of a public vocabulary for their length; random strings take many. So a run
 of at least `min_chars` credential characters whose characters per token lie below `max_ratio` is a span of its own,
-unless it is a known digest (hexadecimal, of a digest's length), a UUID or a plain number, or touches a base span.
+unless it is a known digest (hexadecimal, of a digest's length), a UUID or a plain number, or touches a base span. `=` may
+stand before a run, as in NAME=value, and belongs to it only as padding at its end.
 
 Spans are in code points, end exclusive, ordered by start and then by kind. Null and empty texts have none; each
 repeated row gets its own; texts are scanned whole whatever their length; other columns pass through untouched.
@@ -42,7 +43,7 @@ def tokenizer(vocabulary: bytes, pattern: str) -> tiktoken.Encoding:
 
 @lru_cache(4)
 def _candidates(min_chars: int) -> re.Pattern:
-    return re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{%d,}+={0,2}+(?![\w+/=-])" % min_chars)
+    return re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{%d,}+={0,2}+(?![\w+/=-])" % min_chars)
 
 
 def known(run: str) -> bool:
