@@ -32,8 +32,10 @@ ORDER = 4
 #: Characters that are worked on at once.
 PIECE = 1 << 19
 SPACE = 32
-#: Log-probabilities of the highest order in a set of models: 48 MB, so that driver and executors hold them easily.
+#: Numbers of an array that has a row of all languages for each n-gram: 48 MB. Beyond that only what a language has is stored.
 MAX_CELLS = 12_000_000
+#: Log-probabilities that are worked on at once.
+CELLS = 16 * PIECE
 
 
 @lru_cache(1)
@@ -80,8 +82,26 @@ def hashed(keys: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+class Rows:
+    """Rows of numbers for the languages, of which only those that are there are stored; the others are taken as they are given."""
+
+    def __init__(self, at: np.ndarray, language: np.ndarray, value: np.ndarray, n: int):
+        """at: the row of each number, in ascending order; n: rows."""
+        self.start, self.language, self.value = np.searchsorted(at, np.arange(n + 1)), language.astype(np.int32), value.astype(np.float32)
+
+    def __getitem__(self, by: np.ndarray) -> Rows:
+        size = np.diff(self.start)[by]
+        at = np.repeat(np.arange(len(by)), size)
+        own = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[by], size)
+        return Rows(at, self.language[own], self.value[own], len(by))
+
+    def places(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+
+
 class Model:
-    """Sorted hash arrays, one for each order, and the log-probabilities (base e) of each language beside them."""
+    """Sorted hash arrays, one for each order, and the log-probabilities (base e) of each language beside them: a row of all languages,
+    or Rows where there are too many languages for that."""
 
     def __init__(self, languages: list[str]):
         self.languages, self.hashes, self.logp, self.contexts, self.logw = languages, [], [], [], []
@@ -89,17 +109,19 @@ class Model:
         self.typical: np.ndarray = np.zeros((len(languages), 2))
         self.margin = np.array([1.0, 0.0])
 
-    def add(self, keys: np.ndarray, logp: np.ndarray, contexts: np.ndarray, logw: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, logp: np.ndarray | Rows, contexts: np.ndarray, logw: np.ndarray | Rows) -> None:
         for values, rows, hs, ps in ((keys, logp, self.hashes, self.logp), (contexts, logw, self.contexts, self.logw)):
             h = hashed(values)
             by = np.argsort(h)
             hs.append(h[by])
-            ps.append(rows[by].astype(np.float32))
+            ps.append(rows[by] if isinstance(rows, Rows) else rows[by].astype(np.float32))
 
     def logs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """The log-probability of each n-gram's last character in each language."""
         if order == 0:
             return np.full((len(keys), len(self.languages)), self.floor, np.float32)
+        if isinstance(self.logp[order - 1], Rows):
+            return self._sparse(keys, order)
         at = self.hashes[order - 1]
         h = hashed(keys)
         k = np.minimum(np.searchsorted(at, h), len(at) - 1)
@@ -116,10 +138,24 @@ class Model:
             out[new] = lower
         return out
 
+    def _sparse(self, keys: np.ndarray, order: int) -> np.ndarray:
+        mask = np.uint64((1 << 16 * (order - 1)) - 1)
+        out = self.logs(keys & mask, order - 1)
+        context = keys >> np.uint64(16) if order > 1 else np.zeros(len(keys), np.uint64)
+        for values, at, rows, add in ((context, self.contexts, self.logw, True), (keys, self.hashes, self.logp, False)):
+            h = hashed(values)
+            k = np.minimum(np.searchsorted(at[order - 1], h), len(at[order - 1]) - 1)
+            found = np.flatnonzero(at[order - 1][k] == h)
+            own = rows[order - 1][k[found]]
+            place = found[own.places()], own.language
+            out[place] = out[place] + own.value if add else own.value
+        return out
+
     def entropies(self, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The cross-entropy a character in each language, and the number of characters, of each text."""
         total, length = np.zeros((len(codes), len(self.languages))), np.array([max(1, len(c) - 1) for c in codes])
         parts, owners, size = [], [], 0
+        piece = max(1024, min(PIECE, CELLS // max(1, len(self.languages))))
 
         def flush() -> None:
             nonlocal size
@@ -132,12 +168,12 @@ class Model:
             size = 0
 
         for k, c in enumerate(codes):
-            for a in range(0, max(0, len(c) - 1), PIECE):
-                own = grams(c, ORDER) if len(c) <= PIECE else grams_between(c, a, min(a + PIECE, len(c) - 1))
+            for a in range(0, max(0, len(c) - 1), piece):
+                own = grams(c, ORDER) if len(c) <= piece else grams_between(c, a, min(a + piece, len(c) - 1))
                 parts.append(own)
                 owners.append(k)
                 size += len(own)
-                if size >= PIECE:
+                if size >= piece:
                     flush()
         flush()
         return total / length[:, None], length
@@ -171,8 +207,9 @@ def margins(entropy: np.ndarray, best: np.ndarray, low: np.ndarray) -> np.ndarra
     return other.min(axis=1) - low
 
 
-def kneser_ney(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of each language's n-grams of the highest order and their counts."""
+def kneser_ney(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]], max_cells: int | None = None) -> Model:
+    """The model of each language's n-grams of the highest order and their counts. max_cells: beyond that an array is stored as Rows."""
+    max_cells = MAX_CELLS if max_cells is None else max_cells
     model = Model(languages)
     alphabet = max(2, len(np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in counts]))))
     model.floor = -float(np.log(alphabet))
@@ -190,22 +227,50 @@ def kneser_ney(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]
             keys, c = np.unique(keys & mask, return_counts=True)
             c = c.astype(np.float64)
         per.append(own[::-1])
+    below: list[tuple[np.ndarray, np.ndarray]] = []  # by language: n-grams of the order before, and their probabilities
     for order in range(1, ORDER + 1):
         # A sorted array holds what any language has, so that one search serves all of them.
         keys = np.unique(np.concatenate([own[order - 1][0] for own in per]))
         contexts = np.unique(np.concatenate([own[order - 1][2] for own in per]))
+        mask = np.uint64((1 << 16 * (order - 1)) - 1)
+        if len(keys) * len(per) > max_cells:
+            below = interpolated(per, order, below, alphabet)
+            logp = [(np.searchsorted(keys, own), np.log(p)) for own, p in below]
+            logw = [(np.searchsorted(contexts, own[order - 1][2]), np.log(own[order - 1][3])) for own in per]
+            model.add(keys, rows_of(logp, len(keys)), contexts, rows_of(logw, len(contexts)))
+            continue
         p, w = np.zeros((len(keys), len(per))), np.ones((len(contexts), len(per)))
         for k, own in enumerate(per):
             p[np.searchsorted(keys, own[order - 1][0]), k] = own[order - 1][1]
             w[np.searchsorted(contexts, own[order - 1][2]), k] = own[order - 1][3]
-        mask = np.uint64((1 << 16 * (order - 1)) - 1)
         context = keys >> np.uint64(16) if order > 1 else np.zeros(len(keys), np.uint64)
         at = np.searchsorted(contexts, context)
         lower = np.exp(model.logs(keys & mask, order - 1)) if order > 1 else 1 / alphabet
         model.add(keys, np.log(p + w[at] * lower), contexts, np.log(w))
+        below = interpolated(per, order, below, alphabet)
     return model
 
 
+def interpolated(per: list[list[tuple[np.ndarray, ...]]], order: int, below: list[tuple[np.ndarray, np.ndarray]], alphabet: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By language: its n-grams of an order and their probabilities. What an n-gram ends with is an n-gram of the order below, whose
+    probabilities are given."""
+    mask, out = np.uint64((1 << 16 * (order - 1)) - 1), []
+    for k, own in enumerate(per):
+        keys, share, contexts, weight = own[order - 1]
+        context = keys >> np.uint64(16) if order > 1 else np.zeros(len(keys), np.uint64)
+        lower = below[k][1][np.searchsorted(below[k][0], keys & mask)] if order > 1 else 1 / alphabet
+        out.append((keys, share + weight[np.searchsorted(contexts, context)] * lower))
+    return out
+
+
+def rows_of(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> Rows:
+    """parts: for each language the rows, and its numbers there."""
+    at = np.concatenate([a for a, _ in parts])
+    by = np.argsort(at, kind="stable")
+    language = np.repeat(np.arange(len(parts), dtype=np.int32), [len(a) for a, _ in parts])
+    return Rows(at[by], language[by], np.concatenate([v for _, v in parts])[by], n)
+
+
 def calibrate(model: Model, texts: list[str], truth: list[str]) -> None:
     """Confidence from margins on texts and short pieces of them; rejection from the entropies of texts of the right language."""
     codes, right = [], []
@@ -290,23 +355,17 @@ _MODELS: dict[str, Model] = {}
 class LanguageID:
     """Fits on the rows of df with a language; then predicts for any texts.
 
-    max_ngrams: of the highest order, for all languages together, in the models; fewer where MAX_CELLS bounds n-grams times languages.
-    max_languages: more than that is an error.
+    There may be any number of languages. max_ngrams: of the highest order, for all languages together, in the models.
     calibration_rows: about so many texts, chosen by a hash among those of up to calibration_chars characters, calibrate confidence
     and rejection.
     """
 
-    def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int = 1_500_000, max_languages: int = 64, calibration_rows: int = 2000, calibration_chars: int = 20_000):
+    def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int = 1_500_000, calibration_rows: int = 2000, calibration_chars: int = 20_000):
         spark = df.sparkSession
         narrow_batches(spark)
         counts = cut(count_ngrams(df, lang_col, text_col))
         # How many n-grams have each count, in powers of two: the least count of those that are kept.
         step = F.floor(F.log2("n")).cast("int").alias("step")
-        # Each n-gram has a number for each language: their product is bounded too.
-        many = counts.select("lang").distinct().count()
-        if many > max_languages:
-            raise ValueError(f"{many} languages")
-        max_ngrams = min(max_ngrams, MAX_CELLS // max(1, many))
         left, least = max_ngrams, 1
         for r in counts.groupBy(step).count().orderBy(F.desc("step")).collect():
             left -= r["count"]
@@ -314,14 +373,19 @@ class LanguageID:
                 least = 2 ** (r.step + 1)
                 break
         kept = counts.where(F.col("n") >= least).toArrow() if least > 1 or left < max_ngrams else counts.limit(0).toArrow()
-        lang, gram, n = (kept.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
-        languages = sorted(set(lang))
-        own = [(gram[lang == k].view(np.uint64), n[lang == k]) for k in languages]
-        own = [(k[by], c[by]) for k, c in own for by in [np.argsort(k)]]
+        names = kept.column("lang").combine_chunks().dictionary_encode()
+        languages = sorted(names.dictionary.to_pylist())
+        place = {k: i for i, k in enumerate(languages)}
+        code = np.array([place[k] for k in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy(zero_copy_only=False)] if languages else np.zeros(0, np.int32)
+        gram, n = kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy()
+        del kept, names
+        by = np.lexsort((gram, code))
+        ends = np.searchsorted(code[by], np.arange(len(languages) + 1))
+        own = [(gram[by[a:b]], n[by[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         model = kneser_ney(languages, own) if languages else Model([])
         if languages:
             some = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where(f"lang IS NOT NULL AND length(text) <= {calibration_chars}")
-            pairs = sorted((r.text, r.lang) for r in bounded_sample(some, calibration_rows, "text", "lang").collect() if r.lang in languages)
+            pairs = sorted((r.text, r.lang) for r in bounded_sample(some, calibration_rows, "text", "lang").collect() if r.lang in place)
             calibrate(model, [t for t, _ in pairs], [k for _, k in pairs])
         self.model, name = model, uuid.uuid4().hex
         sent = spark.sparkContext.broadcast(model)

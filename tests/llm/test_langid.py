@@ -95,3 +95,23 @@ def test_odd_rows(spark):
     found = report(clash)
     assert found.columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"] and found.count() == 202 and found.where("doc_id IS NULL AND NOT held_out AND lang_pred <> 'und'").count() == 2
     assert LanguageID(docs, max_ngrams=3000).model.hashes[-1].size <= 3000
+
+
+def test_rows_of_what_is_there_equal_rows_of_all_languages():
+    texts = {"a": "the cat sat on the mat; the rat ate that", "b": "der Hund und die Katze, und der Bär", "c": "le chat et le rat"}
+    counts = [np.unique(grams(folded(t), ORDER), return_counts=True) for t in texts.values()]
+    probe = grams(folded("the bat und zzz katze ätt that le chat 漢字"), ORDER)
+    full = kneser_ney(list(texts), counts, 10**9).logs(probe)
+    for most in (0, 60, 150):
+        assert np.allclose(kneser_ney(list(texts), counts, most).logs(probe), full, atol=1e-4)
+
+
+def test_many_languages(spark):
+    r = np.random.default_rng(8)
+    # 70 languages of one alphabet, each with words of its own.
+    words = {f"x{k:02d}": ["".join(r.choice(list("abcdefghijklmnopqrst"), 6)) for _ in range(12)] for k in range(70)}
+    text = lambda k: " ".join(r.choice(words[k], 30))
+    model = LanguageID(spark.createDataFrame([(text(k), k) for k in words for _ in range(4)], "text string, lang string"))
+    assert model.model.languages == sorted(words)
+    probe = spark.createDataFrame([(text(k), k) for k in words], "text string, lang string")
+    assert all(x.lang == x.p.lang and not x.p.rejected for x in probe.select("lang", model.predict(probe.text).alias("p")).collect())
