@@ -4,8 +4,8 @@ Texts are lower-cased, runs of anything but letters become one space, and one sp
 n-grams of the highest order are counted over all training texts (an aggregation with partial sums on the map side);
 lower orders follow from them as Kneser-Ney continuation counts. All models together are sorted arrays of hashed n-grams, one
 for each order, with a row of log-probabilities for the languages beside them; an n-gram that no language has backs off
-by the interpolation weights of its context, which are sorted arrays too. Should there be more n-grams than `max_ngrams`, the
-rarest are left out of the models (all of one count together); that bounds what is collected and broadcast.
+by the interpolation weights of its context, which are sorted arrays too. All n-grams that were counted are in the models, so
+what is collected and broadcast grows with the different n-grams of the training texts, unless `max_ngrams` bounds it.
 
 A text's language is the one with the lowest cross-entropy a character. Confidence is the logistic of the margin to the next
 one, times the square root of the length; rejection compares the cross-entropy with what texts of that language
@@ -348,6 +348,17 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least power of two so that at most `most` n-grams have that count."""
+    least = 1
+    for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().orderBy(F.desc("step")).collect():
+        most -= r["count"]
+        if most < 0:
+            least = 2 ** (r.step + 1)
+            break
+    return least
+
+
 #: In a Python worker, the model that it used last.
 _MODELS: dict[str, Model] = {}
 
@@ -355,24 +366,17 @@ _MODELS: dict[str, Model] = {}
 class LanguageID:
     """Fits on the rows of df with a language; then predicts for any texts.
 
-    There may be any number of languages. max_ngrams: of the highest order, for all languages together, in the models.
+    There may be any number of languages, and the models hold all their n-grams. max_ngrams: of the highest order, for all languages
+    together, if the models are to be smaller than that; the rarest are left out then, and with them maybe small languages.
     calibration_rows: about so many texts, chosen by a hash among those of up to calibration_chars characters, calibrate confidence
     and rejection.
     """
 
-    def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int = 1_500_000, calibration_rows: int = 2000, calibration_chars: int = 20_000):
+    def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int | None = None, calibration_rows: int = 2000, calibration_chars: int = 20_000):
         spark = df.sparkSession
         narrow_batches(spark)
         counts = cut(count_ngrams(df, lang_col, text_col))
-        # How many n-grams have each count, in powers of two: the least count of those that are kept.
-        step = F.floor(F.log2("n")).cast("int").alias("step")
-        left, least = max_ngrams, 1
-        for r in counts.groupBy(step).count().orderBy(F.desc("step")).collect():
-            left -= r["count"]
-            if left < 0:
-                least = 2 ** (r.step + 1)
-                break
-        kept = counts.where(F.col("n") >= least).toArrow() if least > 1 or left < max_ngrams else counts.limit(0).toArrow()
+        kept = (counts if max_ngrams is None else counts.where(F.col("n") >= least_count(counts, max_ngrams))).toArrow()
         names = kept.column("lang").combine_chunks().dictionary_encode()
         languages = sorted(names.dictionary.to_pylist())
         place = {k: i for i, k in enumerate(languages)}

@@ -115,3 +115,12 @@ def test_many_languages(spark):
     assert model.model.languages == sorted(words)
     probe = spark.createDataFrame([(text(k), k) for k in words], "text string, lang string")
     assert all(x.lang == x.p.lang and not x.p.rejected for x in probe.select("lang", model.predict(probe.text).alias("p")).collect())
+
+
+def test_small_languages_keep_their_ngrams(spark):
+    r = np.random.default_rng(9)
+    large = "".join(map(chr, r.integers(0x4E00, 0x9000, 1_600_000)))  # over 1,500,000 n-grams, of count 1 like those of the small one
+    small = "ab cdef ghij klmn opqr stuv wxyz zyxw vuts rqpo nmlk jihg fedc"
+    model = LanguageID(spark.createDataFrame([(large, "xx"), (small, "zz")], "text string, lang string")).model
+    assert model.languages == ["xx", "zz"] and model.predict(["opqr stuv wxyz ab cdef zyxw vuts"])[0][0] == "zz"
+    assert model.hashes[-1].size == len(np.unique(np.concatenate([grams(folded(t), ORDER) for t in (large, small)])))
