@@ -1,14 +1,16 @@
 """Connected components of a graph that is a table of edges, by alternating large-star and small-star steps.
 
 Each step joins the edges with the least neighbour of each node, so a node with very many neighbours is an aggregation with
-partial sums and a join whose large partitions Spark can split; no node's neighbours are ever gathered. Each round
-is written to shared storage, which ends its lineage.
+partial sums and a join; no node's neighbours are ever gathered. The least neighbours are written to shared storage before
+they are joined: both sides of the join are then plain scans, so that Spark can broadcast the smaller one where its files
+are small, and can split a hot node's partition where they are not. Each round's edges are written too, which ends
+their lineage; tables of rounds that are over are deleted.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lakeferry.llm.base import cut, remove
@@ -20,19 +22,19 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Loops and repeated edges change nothing; edges with a null end are ignored; without edges there are no rows.
     """
     spark = edges.sparkSession
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(now)
+    now, mark = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most_rounds):
         if mark[0] == 0:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        before, now = now, cut(small)
-        remove(spark, before)
-        last, mark = mark, _mark(now)
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lower = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        moved = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, (small, mark) = mark, _written(moved.union(lower).distinct())
+        for over in (now, least, large, lower):
+            remove(spark, over)
+        now = small
         if mark == last:
             break
     else:
@@ -40,10 +42,11 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Tells one set of edges from another."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and what tells one set of edges from another, seen while they were written."""
+    seen, h = Observation(), F.xxhash64("u", "v")
+    table = cut(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")))
+    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
 class Forest:

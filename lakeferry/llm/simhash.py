@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lakeferry.llm.base import cut, fresh, keyed, narrow_batches, tidy, utf8
+from lakeferry.llm.base import cut, keyed, narrow_batches, tidy, utf8
 from lakeferry.llm.components import Forest, components
 
 BITS = 64
@@ -96,15 +96,15 @@ def number_of_partitions(n: int, distance: int) -> int:
     return min(range(max(2, (distance + 1) // 2), distance + 2), key=cost)
 
 
-def grouped(pairs: np.ndarray, ones: np.ndarray, n: int, m: int) -> list[list[int]]:
+def grouped(pairs: np.ndarray, ones: np.ndarray, n: int, m: int, bits: int = BITS) -> list[list[int]]:
     """m groups of bits, about equal in size. pairs: how often bits i and j are both 1; ones: how often bit i is."""
     p = ones / max(1, n)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     strength = np.abs((pairs / max(1, n) - np.outer(p, p)) / np.outer(spread, spread)).round(9)
     np.fill_diagonal(strength, 0)
-    left, out = list(range(BITS)), []
+    left, out = list(range(bits)), []
     for k in range(m):
-        size = BITS // m + (k < BITS % m)
+        size = bits // m + (k < bits % m)
         first = max(left, key=lambda i: (strength[i, left].max(), -i))
         own = [first]
         while len(own) < size:
@@ -323,8 +323,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dista
     narrow_batches(df.sparkSession)
     rows = cut(keyed(df, id_col, text_col).select("id", fingerprints(F.col("text"), size, seed).alias("fp")))
     linked = rooted(rows, F.min("id"), distance, block)
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(ids, "root").select("fp", "component_id")
+    # Written before they are joined: a component may hold a third of all rows, see components.
+    ids = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = cut(linked.join(ids, "root").select("fp", "component_id"))
     return rows.join(of, "fp").select("id", "fp", "component_id")
 
 
@@ -335,21 +336,6 @@ def rooted(rows: DataFrame, least: Column, distance: int, block: int) -> DataFra
     return cut(distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, size: int = 3, seed: int = 42, block: int = BLOCK) -> DataFrame:
-    """One row of each component: that with the least id, a null id being the last. Columns and their order stay.
-
-    Rows get a number of their own, as ids may repeat or be null; of several rows with the least id the first stays.
-    """
-    narrow_batches(df.sparkSession)
-    number, fp = fresh(df, "number"), fresh(df, "fp")
-    # Row numbers must hold when a lost task runs again: they are written, not computed twice.
-    whole = cut(df.withColumn(number, F.monotonically_increasing_id()).withColumn(fp, fingerprints(F.col(f"`{text_col}`"), size, seed)))
-    rows = whole.select(F.col(f"`{id_col}`").alias("id"), F.col(number).alias("number"), F.col(fp).alias("fp"))
-    linked = rooted(rows, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")), distance, block)
-    stay = linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.number").alias(number))
-    return whole.join(stay, number, "left_semi").select(*(f"`{c}`" for c in df.columns))
-
-
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row."""
     found = classes(df, id_col, text_col, **parameters)
