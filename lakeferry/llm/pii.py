@@ -8,7 +8,9 @@ pseudonyms in all documents, however they are punctuated; check digits are compu
 
 Kinds: email (name permuted, host kept), phone (country code kept), card (13-19 digits, Luhn), ssn, iban (mod 97), ip (four
 bytes), date (a day of 1900-2099: 2001-02-03, 03.02.2001, 3/2/2001, 3-2-2001; where day and month can't be told apart the
-first is the day). What fails validation isn't touched. A null text stays null, an empty one empty, and texts without
+first is the day). A date's format is the order of its parts and the digits of each, and its pseudonym is of the same: where the
+month comes first, which only a day beyond 12 shows, the other day lies beyond 12 too. Equal dates of one format stay linked, and
+all formats with two digits for day and month whose first part isn't the month share one permutation. What fails validation isn't touched. A null text stays null, an empty one empty, and texts without
 personal data stay as they are; repeated rows are treated alike; other columns pass through untouched.
 """
 
@@ -20,6 +22,7 @@ import re
 import string
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,8 @@ from lakeferry.llm.base import narrow_batches
 KINDS = ("email", "phone", "card", "ssn", "iban", "ip", "date")
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.ASCII)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII)
-NUMBERS = re.compile(r"[+(0-9][0-9 .()/+-]{5,}[0-9]", re.ASCII)
+#: Where numbers can be: whole runs of their characters, taken once, so that a scan is linear.
+NUMBERS = re.compile(r"[0-9 .()/+-]{7,}+", re.ASCII)
 NUMBER = re.compile(
     r"""
     (?P<date>(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)[0-9]{4})(?![0-9]))
@@ -92,20 +96,23 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-def _day(text: str) -> tuple[int, str] | None:
-    """The day that a date names, and how to write another: order of parts and their separator."""
-    if text[4:5] == "-":
-        order, parts = "ymd", text.split("-")
-    else:
-        order, parts = "dmy", re.split("[./-]", text)
-        if int(parts[1]) > 12:
-            order = "mdy"
+def _day(text: str) -> tuple[int, str, tuple[int, ...]] | None:
+    """The day that a date names, the order of its parts and the digits of each."""
+    parts = re.split("[./-]", text)
+    order = "ymd" if len(parts[0]) == 4 else "mdy" if int(parts[1]) > 12 else "dmy"
     part = dict(zip(order, map(int, parts), strict=True))
     try:
         day = datetime.date(part["y"], part["m"], part["d"]).toordinal()
     except ValueError:
         return None
-    return (day - FIRST_DAY, order) if FIRST_DAY <= day <= LAST_DAY else None
+    return (day, order, tuple(map(len, parts))) if FIRST_DAY <= day <= LAST_DAY else None
+
+
+@lru_cache(32)
+def _days(least_day: int, most_day: int, most_month: int) -> np.ndarray:
+    """The days that a format can write, ascending."""
+    every = (datetime.date.fromordinal(n) for n in range(FIRST_DAY, LAST_DAY + 1))
+    return np.array([d.toordinal() for d in every if least_day <= d.day <= most_day and d.month <= most_month])
 
 
 def _classes(text: str) -> list[str]:
@@ -173,12 +180,16 @@ def pseudonym(key: bytes, kind: str, value: str) -> str | None:
             return None
         x = feistel(key, kind, 1 << 32)(int.from_bytes(bytes(map(int, parts))))
         return ".".join(map(str, x.to_bytes(4)))
-    if (day := _day(value)) is None:
+    if (found := _day(value)) is None:
         return None
-    x, order = day
-    d = datetime.date.fromordinal(FIRST_DAY + feistel(key, kind, LAST_DAY - FIRST_DAY + 1)(x))
+    day, order, digits_of = found
+    width = dict(zip(order, digits_of, strict=True))
+    limits = 13 if order == "mdy" else 1, 31 if width["d"] == 2 else 9, 12 if width["m"] == 2 else 9
+    own = _days(*limits)
+    # All two-digit forms that aren't month-first have the same domain, and so the same permutation.
+    d = datetime.date.fromordinal(int(own[feistel(key, kind, len(own))(int(np.searchsorted(own, day)))]))
     sep = next(c for c in value if not c.isdigit())
-    return sep.join({"y": f"{d.year}", "m": f"{d.month:02d}", "d": f"{d.day:02d}"}[p] for p in order)
+    return sep.join(f"{n:0{width[p]}d}" for p, n in zip(order, ({"y": d.year, "m": d.month, "d": d.day}[p] for p in order), strict=True))
 
 
 def find(key: bytes, text: str) -> list[tuple[int, int, str, str]]:
@@ -187,7 +198,10 @@ def find(key: bytes, text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         found += [(*m.span(), "email", m[0]) for m in EMAIL.finditer(text)]
     for run in NUMBERS.finditer(text):
-        found += [(*m.span(), m.lastgroup if m.lastgroup != "sep" else "date", m[0]) for m in NUMBER.finditer(text, *run.span())]
+        # From the first character that a number may start with to the last digit.
+        a, b = run.end() - len(run[0].lstrip(" .)/-")), run.start() + len(run[0].rstrip(" .()/+-"))
+        if b - a >= 7:
+            found += [(*m.span(), m.lastgroup if m.lastgroup != "sep" else "date", m[0]) for m in NUMBER.finditer(text, a, b)]
     if found or any(c.isdigit() for c in text):
         found += [(*m.span(), "iban", m[0]) for m in IBAN.finditer(text)]
     out, end = [], 0
