@@ -16,10 +16,27 @@ from lakeferry.plans.environment import Environment
 
 
 def session():
-    """A session with what loads rely on: UTC, strict casts, adaptive execution."""
+    """A session with what loads rely on: UTC, strict casts, adaptive execution, and the object stores that the environment names."""
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("lakeferry").config("spark.sql.session.timeZone", "UTC").config("spark.sql.ansi.enabled", "true").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+    from lakeferry.sources.readers import object_store_conf
+
+    own = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true"}
+    own |= {f"spark.hadoop.{k}": v for k, v in object_store_conf(os.environ).items()}
+    return SparkSession.builder.appName("lakeferry").config(map=own).getOrCreate()
+
+
+def finalize_hooks(tables: Sequence[TableConfig], base: str) -> dict[str, Any]:
+    """The functions `finalize` of the modules that finalize blocks name, in the configuration's folder of modules."""
+    from lakeferry.plans.ingest import IngestError, find_hook
+
+    names = {h.get("run") for t in tables for h in t.finalize}
+    if bad := [n for n in names if not isinstance(n, str) or not n.isidentifier()]:
+        raise ConfigError(f"a finalize hook is named by an identifier, not {bad[0]!r}")
+    try:
+        return {n: find_hook([os.path.join(base, n, "__init__.py"), os.path.join(base, f"{n}.py")], "finalize") for n in sorted(names)}
+    except IngestError as e:
+        raise ConfigError(f"unknown finalize hook: {e}") from None
 
 
 def run_block(inline: str | None, options: Sequence[str], flags: dict[str, Any]) -> dict[str, Any]:
@@ -122,7 +139,11 @@ def main(argv: Sequence[str] | None = None, *, spark=None, environment: dict[str
         return int(bool(failures))
     if a.command == "ld":
         with open(a.config) as f:
-            tables = parse(f.read(), env)
+            text = f.read()
+        tables = parse(text, env)
+        if hooks is None:
+            folder = (yaml.safe_load(text) or {}).get("modules") or "modules"
+            hooks = finalize_hooks(selected(tables, names), os.path.join(os.path.dirname(os.path.abspath(a.config)), folder))
     else:
         block = run_block(a.inline, a.opt, {"src": a.src, "dest": a.dest, "name": a.name, "sql": a.sql})
         tables = [TableConfig(parse_source(block, env.kind_of("SRC")), [parse_destination(block, env.kind_of("DEST"))])]

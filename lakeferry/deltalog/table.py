@@ -1,29 +1,36 @@
 """Reading, overwriting and merging tables under a log.
 
-Data files are written by one Spark job into a folder of their own below the table, and count only once the log names them.
-A merge finds the rows that it replaces by joining keys with the files whose range of the first key meets the source's, and marks
-them in deletion vectors; no file is rewritten. Reading leaves marked rows out by an anti join on file and row number.
+Data files are written by one Spark job into a folder of their own below the table, and count only once the log names them. That
+job is the only one that runs the source: null keys and watermarks are seen while it writes, and a load that may not be committed
+is deleted again. A merge finds the rows that it replaces by joining keys with the files whose ranges of all keys meet the source's,
+of which it reads only row groups that do, and marks them in deletion vectors; no file is rewritten. Reading leaves marked
+rows out by an anti join on file and row number. Values of partition columns come from the log, file by file.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
+import math
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
+from typing import Any
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, DateType, DecimalType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 from lakeferry.deltalog import vectors
 from lakeferry.deltalog.log import TableLog, commit_info, decoded_path, encoded_path, now_ms, protocol, removal, schema_string, Snapshot
 from lakeferry.functions.types import ColumnSpec, from_schema
 from lakeferry.operators.stats import as_watermark, file_stats, is_stale, ordered, stat_text
-from lakeferry.operators.strategies import MergeError, MergeStats, refuse_null_keys
+from lakeferry.operators.strategies import MergeError, MergeStats, matched_rows, refuse_nulls
 from lakeferry.shipping import ship
 
 OVERWRITE_ATTEMPTS, MERGE_ATTEMPTS = 10, 3
@@ -51,6 +58,32 @@ class StagedMerge:
     version: int | None
     schema: StructType
     skipped: int | None = None
+    source_rows: int | None = None
+
+
+def rows_of(adds: Sequence[dict]) -> int:
+    return sum(json.loads(a["stats"])["numRecords"] for a in adds)
+
+
+def stat_bounds(low: Any, high: Any, t: DataType) -> tuple[Any, Any] | None:
+    """Statistics' texts as values that bound a column: times are written to the millisecond, so the upper one is the end of it."""
+    if low is None or high is None or not isinstance(t, (NumericType, StringType, DateType, TimestampType, TimestampNTZType)):
+        return None
+    if isinstance(t, DecimalType):
+        return Decimal(str(low)), Decimal(str(high))
+    if isinstance(t, NumericType):
+        return (low, high) if all(isinstance(x, (int, float, Decimal)) for x in (low, high)) else None
+    if isinstance(t, (TimestampType, TimestampNTZType)):
+        a, b = (datetime.datetime.fromisoformat(x.replace("Z", "")) for x in (low, high))
+        return a, b + datetime.timedelta(milliseconds=1)
+    return (low, high) if isinstance(low, str) and isinstance(high, str) else None
+
+
+def _literal(value: Any, t: DataType):
+    """A bound as a literal of the column's type; times of statistics are UTC."""
+    if isinstance(t, TimestampType):
+        return F.timestamp_micros(F.lit(int((value - datetime.datetime(1970, 1, 1)) / datetime.timedelta(microseconds=1))))
+    return F.lit(str(value)).cast(t) if isinstance(t, (DecimalType, TimestampNTZType, DateType)) else F.lit(value)
 
 
 def _file_key(c):
@@ -76,9 +109,9 @@ class Table:
         marked = [p for p, a in own.files.items() if a.get("deletionVector")]
         parts = []
         if plain:
-            parts.append(self._scan(plain, schema))
+            parts.append(self._scan(plain, schema, own))
         if marked:
-            parts.append(self._live(self._scan(marked, schema, "__file", "__row"), own, marked).drop("__file", "__row"))
+            parts.append(self._live(self._scan(marked, schema, own, "__file", "__row"), own, marked).drop("__file", "__row"))
         if not parts:
             return self.spark.createDataFrame([], schema)
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -86,10 +119,20 @@ class Table:
     def schema(self, own: Snapshot) -> StructType:
         return StructType.fromJson(json.loads(own.metadata["schemaString"]))
 
-    def _scan(self, paths: Sequence[str], schema, *where: str) -> DataFrame:
-        df = self.spark.read.schema(schema).parquet(*(self.store.full(decoded_path(p)) for p in sorted(paths)))
+    def _scan(self, paths: Sequence[str], schema: StructType, own: Snapshot, *where: str) -> DataFrame:
+        """Rows of files, and where they are. Partition columns aren't in the files: the log has them, as text, for each file."""
+        parts = own.metadata.get("partitionColumns") or []
+        stored = StructType([f for f in schema.fields if f.name not in parts])
+        df = self.spark.read.schema(stored).parquet(*(self.store.full(decoded_path(p)) for p in sorted(paths)))
         meta = [F.col("_metadata.file_path").alias(where[0]), F.col("_metadata.row_index").alias(where[1])] if where else []
-        return df.select("*", *meta)
+        if not parts:
+            return df.select("*", *meta)
+        values = [(self._url(p), *((own.files[p].get("partitionValues") or {}).get(c) or None for c in parts)) for p in sorted(paths)]
+        named = self.spark.createDataFrame(values, ", ".join(["__of string", *(f"__p{k} string" for k in range(len(parts)))]))
+        named = F.broadcast(named) if len(paths) <= FILES_BROADCAST else named
+        df = df.select("*", F.col("_metadata.file_path").alias("__from"), *meta).join(named, _file_key(F.col("__from")) == _file_key(F.col("__of")), "left")
+        of = {c: F.col(f"__p{k}").cast(schema[c].dataType).alias(c) for k, c in enumerate(parts)}
+        return df.select(*(of.get(f.name, F.col(f"`{f.name}`")) for f in schema.fields), *where)
 
     def _live(self, rows: DataFrame, own: Snapshot, paths: Sequence[str]) -> DataFrame:
         """Rows (with __file and __row) that no vector marks: an anti join on file number and row number, packed into one whole number.
@@ -99,7 +142,7 @@ class Table:
         """
         paths = sorted(paths)
         marks = [vectors.Descriptor.of(own.files[p]["deletionVector"]) for p in paths]
-        names = self.spark.createDataFrame([(self.store.full(decoded_path(p)), k) for k, p in enumerate(paths)], "__name string, __id long")
+        names = self.spark.createDataFrame([(self._url(p), k) for k, p in enumerate(paths)], "__name string, __id long")
         dvs = self.spark.createDataFrame([(k, vectors.encode(vectors.load(self.store, m))) for k, m in enumerate(marks)], "id long, data binary")
 
         def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,37 +161,53 @@ class Table:
 
     # writing
 
-    def stage(self, df: DataFrame, *, max_rows: int | None = None, bloom: Sequence[str] = ()) -> list[dict]:
+    def stage(self, df: DataFrame, *, max_rows: int | None = None, max_bytes: int | None = None, bloom: Sequence[str] = (), partitions: Sequence[str] = ()) -> list[dict]:
         """Write df's rows as files of the table that nothing names yet; their adds, with statistics."""
         folder = f"load-{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "snappy")
-        if max_rows:
-            writer = writer.option("maxRecordsPerFile", max_rows)
-        for c in bloom:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        try:
-            writer.parquet(self.store.full(folder))
-        except Exception:
-            self.store.delete(folder)
-            raise
-        sizes = {x.path.rpartition("/")[2]: x for x in self.store.list(folder) if x.path.endswith(".parquet")}
-        written = self.spark.read.schema(df.schema).parquet(self.store.full(folder))
-        stats = file_stats(written, [F.col("_metadata.file_name").alias("__name")])
+        rows = df
+        while True:
+            writer = rows.write.option("compression", "snappy").partitionBy(*partitions)
+            if max_rows:
+                writer = writer.option("maxRecordsPerFile", max_rows)
+            for c in bloom:
+                if c not in partitions:
+                    writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+            try:
+                writer.parquet(self.store.full(folder))
+            except Exception:
+                self.store.delete(folder)
+                raise
+            if rows is not df:
+                self.store.delete(last)
+            files = {x.path.removeprefix(f"{folder}/"): x for x in self.store.list(folder, recursive=True) if x.path.endswith(".parquet")}
+            written = self.spark.read.schema(df.schema).parquet(self.store.full(folder))
+            stats = file_stats(written, [F.col("_metadata.file_path").alias("__name")])
+            found = {unquote(r["__name"]).partition(f"/{folder}/")[2]: r for r in stats.collect()}  # one row for each file
+            if rows is df and max_bytes and files and max(x.size for x in files.values()) > max_bytes:
+                # Bytes are known only once written: so many rows a file as have them on average, from what is written already.
+                per = max(1, math.floor(sum(r.num_records for r in found.values()) * max_bytes / sum(x.size for x in files.values())))
+                rows, last, folder, max_rows = written, folder, f"load-{uuid.uuid4().hex}", min(per, max_rows or per)
+                continue
+            break
         adds = []
-        for r in stats.collect():  # one row for each file
+        for name, x in sorted(files.items()):
+            r = found.get(name)
+            if r is None:  # Spark's file of an empty load holds no rows
+                self.store.delete(x.path)
+                continue
             low, high, nulls = {}, {}, {}
             for f in df.schema.fields:
+                if f.name in partitions:
+                    continue
                 nulls[f.name] = r[f"null_count_{f.name}"]
                 if ordered(f.dataType) and f"min_{f.name}" in stats.columns and r[f"min_{f.name}"] is not None:
                     a, b = stat_text(r[f"min_{f.name}"], f.dataType), stat_text(r[f"max_{f.name}"], f.dataType)
                     if a is not None and b is not None:
                         low[f.name], high[f.name] = a, b
-            file = sizes[r["__name"]]
-            adds.append({"path": encoded_path(f"{folder}/{r['__name']}"), "partitionValues": {}, "size": file.size, "modificationTime": file.modified_ms, "dataChange": True, "stats": json.dumps({"numRecords": r.num_records, "minValues": low, "maxValues": high, "nullCount": nulls, "tightBounds": True})})
-        for name, x in sizes.items():  # Spark's file of an empty load holds no rows
-            if not any(a["path"].endswith(encoded_path(name)) for a in adds):
-                self.store.delete(x.path)
-        return sorted(adds, key=lambda a: a["path"])
+            values = dict(p.partition("=")[::2] for p in name.split("/")[:-1])
+            values = {unquote(k): None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for k, v in values.items()}
+            adds.append({"path": encoded_path(f"{folder}/{name}"), "partitionValues": values, "size": x.size, "modificationTime": x.modified_ms, "dataChange": True, "stats": json.dumps({"numRecords": r.num_records, "minValues": low, "maxValues": high, "nullCount": nulls, "tightBounds": True})})
+        return adds
 
     def discard(self, adds: list[dict]) -> None:
         for folder in {decoded_path(a["path"]).partition("/")[0] for a in adds}:
@@ -157,11 +216,18 @@ class Table:
     def ensure(self, df: DataFrame, columns: Sequence[ColumnSpec] | None = None) -> Snapshot:
         return self.log.snapshot() or self.log.create(list(columns or from_schema(df.schema)))
 
+    def partitions(self, own: Snapshot, df: DataFrame) -> list[str]:
+        """The table's partition columns, which df must have."""
+        parts = list(own.metadata.get("partitionColumns") or ())
+        if missing := [c for c in parts if c not in df.columns]:
+            raise MergeError(f"the table is partitioned by {missing[0]!r}, which the source lacks")
+        return parts
+
     def overwrite(self, df: DataFrame, columns: Sequence[ColumnSpec] | None = None, *, max_rows: int | None = None) -> int:
         """The table holds df's rows and nothing else, in df's schema; an empty df empties it. The new version."""
         columns = list(columns or from_schema(df.schema))
-        self.ensure(df, columns)
-        return self.replace(self.stage(df, max_rows=max_rows), columns)
+        own = self.ensure(df, columns)
+        return self.replace(self.stage(df, max_rows=max_rows, partitions=self.partitions(own, df)), columns)
 
     def replace(self, adds: list[dict], columns: list[ColumnSpec]) -> int:
         """Commit staged files as all that the table holds."""
@@ -181,8 +247,9 @@ class Table:
         """Rows whose key df has go, all rows of df come. With a txn that isn't newer than what it committed, nothing happens."""
         return self.commit_merge(self.stage_merge(df, keys, columns=columns, allow_null_keys=allow_null_keys, txn=txn, max_rows=max_rows))
 
-    def stage_merge(self, df: DataFrame, keys: Sequence[str], *, columns: Sequence[ColumnSpec] | None = None, allow_null_keys: bool = False, txn: Txn | None = None, max_rows: int | None = None) -> StagedMerge:
-        """Everything of a merge but its commit. Keys are checked, and the txn's version compared, before a file is written."""
+    def stage_merge(self, df: DataFrame, keys: Sequence[str], *, columns: Sequence[ColumnSpec] | None = None, allow_null_keys: bool = False, txn: Txn | None = None, max_rows: int | None = None, max_bytes: int | None = None) -> StagedMerge:
+        """Everything of a merge but its commit. The source runs once: while its rows are written, null keys are counted and the
+        watermark is seen. Files of a load that they forbid, or make needless, are deleted; a version known before is compared before."""
         if not keys:
             raise MergeError("merge_keys cannot be empty")
         if unknown := [k for k in keys if k not in df.columns]:
@@ -190,32 +257,45 @@ class Table:
         own = self.ensure(df, columns)
         if unknown := [k for k in keys if k not in self.schema(own).names]:
             raise MergeError(f"the table has no key {unknown[0]!r}")
-        if not allow_null_keys:
-            refuse_null_keys(df, keys)
         version = None
-        if txn:
+        if txn and not txn.watermark_column:
             version = txn.batch_version if txn.batch_version is not None else now_ms()
-            if txn.watermark_column:
-                version = df.agg(F.max(as_watermark(F.col(f"`{txn.watermark_column}`"), df.schema[txn.watermark_column].dataType))).first()[0]
             if is_stale(version, own.txns.get(txn.app_id)):
                 return StagedMerge([], list(keys), allow_null_keys, txn, version, df.schema, own.txns[txn.app_id])
-        return StagedMerge(self.stage(df, max_rows=max_rows, bloom=keys), list(keys), allow_null_keys, txn, version, df.schema)
+        seen, asked = Observation(), [F.count_if(F.col(f"`{k}`").isNull()).alias(f"n{i}") for i, k in enumerate(keys)]
+        if txn and txn.watermark_column:
+            asked.append(F.max(as_watermark(F.col(f"`{txn.watermark_column}`"), df.schema[txn.watermark_column].dataType)).alias("w"))
+        adds = self.stage(df.observe(seen, *asked), max_rows=max_rows, max_bytes=max_bytes, bloom=keys, partitions=self.partitions(own, df))
+        found, n = seen.get, rows_of(adds)
+        try:
+            if not allow_null_keys:
+                refuse_nulls(keys, [found.get(f"n{i}") for i in range(len(keys))])
+        except MergeError:
+            self.discard(adds)
+            raise
+        if txn and txn.watermark_column:
+            version = found.get("w")
+            if is_stale(version, own.txns.get(txn.app_id)):
+                self.discard(adds)
+                return StagedMerge([], list(keys), allow_null_keys, txn, version, df.schema, own.txns[txn.app_id], n)
+        return StagedMerge(adds, list(keys), allow_null_keys, txn, version, df.schema, source_rows=n)
 
     def commit_merge(self, staged: StagedMerge) -> MergeStats:
         adds, keys, txn = staged.adds, staged.keys, staged.txn
         if staged.skipped is not None:
             return MergeStats(0, 0, 0, skipped=True, skipped_version=staged.skipped)
-        n = sum(json.loads(a["stats"])["numRecords"] for a in adds)
+        n = rows_of(adds)
         if not n:
             self.discard(adds)
             return MergeStats(0, 0, 0)
-        source = self.spark.read.schema(staged.schema).parquet(*(self.store.full(decoded_path(a["path"])) for a in adds))
         out: dict = {}
 
         def work(now: Snapshot) -> list[dict] | None:
             if txn and is_stale(staged.version, now.txns.get(txn.app_id)):
                 out["skipped"] = now.txns[txn.app_id]
                 return None
+            new = Snapshot(now.version, now.protocol, now.metadata, {a["path"]: a for a in adds})
+            source = self._scan(list(new.files), staged.schema, new)
             marks = self._marks(now, source, adds, keys, staged.null_safe)
             actions = [commit_info("MERGE", mergeKeys=json.dumps(keys))]
             if txn and staged.version is not None:
@@ -241,47 +321,59 @@ class Table:
             return MergeStats(0, 0, 0, skipped=True, skipped_version=out["skipped"])
         return MergeStats(n, out["matched"], max(0, n - out["matched"]), len(adds), out["marked"])
 
-    def candidates(self, own: Snapshot, adds: list[dict], key: str) -> list[str]:
-        """The files whose range of the key meets that of the adds; without a range on either side, all of them."""
-        low, high, nulls = [], [], False
-        for a in adds:
-            s = json.loads(a["stats"])
-            if key not in s["minValues"]:
-                return list(own.files)
-            nulls = nulls or bool(s["nullCount"].get(key))
-            low.append(s["minValues"][key])
-            high.append(s["maxValues"][key])
-        # Texts of decimals don't sort as numbers, cut times are no bounds, and nulls match nulls: all files then.
-        if nulls or not low or any(isinstance(x, str) for x in low) and self.schema(own)[key].dataType.typeName() not in ("string", "date"):
-            return list(own.files)
-        lo, hi, out = min(low), max(high), []
+    def ranges(self, own: Snapshot, adds: list[dict], keys: Sequence[str]) -> dict[str, tuple[Any, Any]]:
+        """The least and greatest value of each key in the adds, for keys of which all adds have both, and no nulls, which match nulls."""
+        out, schema = {}, self.schema(own)
+        stats = [json.loads(a["stats"], parse_float=Decimal) for a in adds]
+        for k in keys:
+            found = [None if s["nullCount"].get(k) else stat_bounds(s["minValues"].get(k), s["maxValues"].get(k), schema[k].dataType) for s in stats]
+            if found and None not in found:
+                out[k] = min(x for x, _ in found), max(y for _, y in found)
+        return out
+
+    def candidates(self, own: Snapshot, adds: list[dict], keys: Sequence[str]) -> list[str]:
+        """The files whose range of each key meets that of the adds; what has no range on either side meets all."""
+        wanted, schema = self.ranges(own, adds, keys), self.schema(own)
+        out = []
         for path, a in own.files.items():
-            s = json.loads(a.get("stats") or "{}")
-            x, y = s.get("minValues", {}).get(key), s.get("maxValues", {}).get(key)
-            if x is None or y is None or (type(x) is type(lo) or isinstance(x, (int, float)) and isinstance(lo, (int, float))) is False or (x <= hi and y >= lo):
+            s = json.loads(a.get("stats") or "{}", parse_float=Decimal)
+            meets = True
+            for k, (low, high) in wanted.items():
+                held = stat_bounds(s.get("minValues", {}).get(k), s.get("maxValues", {}).get(k), schema[k].dataType)
+                meets = meets and (held is None or held[0] <= high and held[1] >= low)
+            if meets:
                 out.append(path)
         return out
 
-    def _marks(self, own: Snapshot, source: DataFrame, adds: list[dict], keys: Sequence[str], null_safe: bool) -> dict[str, tuple[np.ndarray, int]]:
-        """For each file with rows to replace: all its marked rows, old ones too, and how many are new."""
-        paths = self.candidates(own, adds, keys[0])
+    def probe(self, own: Snapshot, adds: list[dict], keys: Sequence[str]) -> DataFrame | None:
+        """keys, __file and __row of the live rows that the adds may replace: of candidate files alone, and of these, by the keys' ranges, of
+        row groups that may hold them. None if there is no such file."""
+        paths = self.candidates(own, adds, keys)
         if not paths:
-            return {}
+            return None
         schema = self.schema(own)
-        rows = self._scan(paths, schema, "__file", "__row").select(*(F.col(f"`{k}`") for k in keys), "__file", "__row")
+        rows = self._scan(paths, schema, own, "__file", "__row").select(*(F.col(f"`{k}`") for k in keys), "__file", "__row")
+        for k, (low, high) in self.ranges(own, adds, keys).items():
+            t = schema[k].dataType
+            rows = rows.where(F.col(f"`{k}`").between(_literal(low, t), _literal(high, t)))
         if marked := [p for p in paths if own.files[p].get("deletionVector")]:
             rows = self._live(rows, own, marked)
-        want = source.select(*(F.col(f"`{k}`").cast(schema[k].dataType).alias(f"__k{i}") for i, k in enumerate(keys)))
-        on = F.lit(True)
-        for i, k in enumerate(keys):
-            on = on & (F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) if null_safe else F.col(f"`{k}`") == F.col(f"__k{i}"))
-        hit = rows.join(want, on, "left_semi").select("__file", "__row")
+        return rows
+
+    def _marks(self, own: Snapshot, source: DataFrame, adds: list[dict], keys: Sequence[str], null_safe: bool) -> dict[str, tuple[np.ndarray, int]]:
+        """For each file with rows to replace: all its marked rows, old ones too, and how many are new."""
+        rows = self.probe(own, adds, keys)
+        if rows is None:
+            return {}
+        paths, schema = list(own.files), self.schema(own)
+        want = source.select(*(F.col(f"`{k}`").cast(schema[k].dataType).alias(k) for k in keys))
+        hit = matched_rows(rows, want, keys, null_safe=null_safe).select("__file", "__row")
 
         def pack(pdf: pd.DataFrame) -> pd.DataFrame:
             """The rows of one file: no more than the file has, and packed to bits."""
             return pd.DataFrame({"file": [pdf["__file"].iloc[0]], "data": [vectors.encode(pdf["__row"].to_numpy())], "n": [pdf["__row"].nunique()]})
 
-        by_url = {self._spelled(self.store.full(decoded_path(p))): p for p in paths}
+        by_url = {self._spelled(self._url(p)): p for p in paths}
         out = {}
         for r in hit.groupBy("__file").applyInPandas(pack, "file string, data binary, n long").collect():
             path = by_url[self._spelled(r.file)]
@@ -289,9 +381,10 @@ class Table:
             out[path] = (np.union1d(new, vectors.load(self.store, old)) if old else new, r.n)
         return out
 
+    def _url(self, path: str) -> str:
+        """A file's URL as the scan names it in its metadata."""
+        return self.store.url_of(decoded_path(path))
+
     @staticmethod
     def _spelled(url: str) -> str:
-        from urllib.parse import unquote
-
-        own = unquote(url)
-        return "file:/" + own[len("file:") :].lstrip("/") if own.startswith("file:") else own
+        return "file:/" + url[len("file:") :].lstrip("/") if url.startswith("file:") else url

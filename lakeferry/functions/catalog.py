@@ -1,22 +1,25 @@
-"""Logical types of database columns, from PostgreSQL's catalog: a type's name and its modifier."""
+"""Logical types of database columns, from what a JDBC driver says of them."""
 
 from __future__ import annotations
 
-from lakeferry.functions.types import ColumnSpec, SchemaError
+from lakeferry.functions.types import ColumnSpec
 
-#: Catalog names of types without parameters.
-SIMPLE = {"bool": "boolean", "int2": "smallint", "int4": "integer", "int8": "bigint", "float4": "real", "float8": "double", "text": "text", "json": "jsonb", "jsonb": "jsonb", "_text": "jsonb", "uuid": "uuid", "date": "date", "bytea": "bytea"}
-COLUMNS_SQL = "SELECT a.attname, t.typname, a.atttypmod FROM pg_attribute a JOIN pg_type t ON t.oid = a.atttypid WHERE a.attrelid = CAST(CAST(? AS text) AS regclass) AND a.attnum > 0 AND NOT a.attisdropped ORDER BY a.attnum"
+#: Codes of java.sql.Types without parameters.
+SIMPLE = {-7: "boolean", 16: "boolean", -6: "smallint", 5: "smallint", 4: "integer", -5: "bigint", 7: "real", 6: "double", 8: "double", -1: "text", 2005: "text", 91: "date", -4: "bytea", -3: "bytea", -2: "bytea", 2004: "bytea"}
+#: Types that drivers call something else, by their own names.
+NAMED = {"uuid": "uuid", "json": "jsonb", "jsonb": "jsonb", "text": "text", "timestamptz": "timestamptz"}
+NUMERIC, TEXTS, TIMES, ZONED = (2, 3), (1, 12), 93, 2014
 
 
-def from_catalog(name: str, type_name: str, modifier: int) -> ColumnSpec:
-    """A modifier counts a header of four bytes; of times it is the number of fractional digits, -1 being all six."""
-    if type_name in SIMPLE:
-        return ColumnSpec(name, SIMPLE[type_name])
-    if type_name in ("varchar", "bpchar"):
-        return ColumnSpec(name, "varchar", length=modifier - 4) if modifier > 4 else ColumnSpec(name, "text")
-    if type_name == "numeric" and modifier > 4:
-        return ColumnSpec(name, "numeric", precision=modifier - 4 >> 16 & 0xFFFF, scale=modifier - 4 & 0xFFFF)
-    if type_name in ("timestamp", "timestamptz"):
-        return ColumnSpec(name, type_name, time_unit="Micros" if modifier < 0 or modifier > 3 else "Second" if modifier == 0 else "Millis")
-    raise SchemaError(f"column {name!r}: no logical type for {type_name}")
+def from_jdbc(name: str, code: int, size: int, digits: int, type_name: str = "") -> ColumnSpec | None:
+    """size and digits: length of a text, precision and scale of a number; of times digits are those of fractions of a second."""
+    unit = "Second" if digits == 0 else "Millis" if 0 < digits <= 3 else "Micros"
+    if (kind := NAMED.get(type_name.lower())) is not None:
+        return ColumnSpec(name, kind, time_unit=unit) if kind == "timestamptz" else ColumnSpec(name, kind)
+    if code in NUMERIC:
+        return ColumnSpec(name, "numeric", precision=size, scale=digits) if 0 < size <= 38 else None
+    if code in TEXTS:
+        return ColumnSpec(name, "varchar", length=size) if 0 < size < 1 << 20 else ColumnSpec(name, "text")
+    if code in (TIMES, ZONED):
+        return ColumnSpec(name, "timestamptz" if code == ZONED else "timestamp", time_unit=unit)
+    return ColumnSpec(name, SIMPLE[code]) if code in SIMPLE else None

@@ -1,4 +1,4 @@
-"""Statistics of files and keys: counts, nulls, least and greatest values; pruning by them; watermarks."""
+"""Statistics of files and keys: counts, nulls, least and greatest values; watermarks."""
 
 from __future__ import annotations
 
@@ -27,18 +27,6 @@ def file_stats(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def key_bounds(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: min_ and max_ of each key."""
-    return df.agg(*(f(f"`{k}`").alias(f"{n}_{k}") for k in keys for n, f in (("min", F.min), ("max", F.max))))
-
-
-def candidate_files(stats: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
-    """The rows of file statistics whose range of the key meets the bounds (one row); a file without a range may hold anything."""
-    b = F.broadcast(bounds.select(F.col(f"min_{key}").alias("__lo"), F.col(f"max_{key}").alias("__hi")))  # one row
-    meets = (F.col(f"min_{key}") <= F.col("__hi")) & (F.col(f"max_{key}") >= F.col("__lo"))
-    return stats.join(b, F.coalesce(meets, F.col(f"min_{key}").isNull())).drop("__lo", "__hi")
-
-
 def as_watermark(c: Column, t: T.DataType) -> Column:
     """A whole number that grows with the value: of whole numbers themselves, of dates days, of times microseconds."""
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):

@@ -1,14 +1,13 @@
-"""Load strategies: what a target holds after a load, from what it held and what the source brings.
+"""What merges share: refusals, the rows that they replace, and their counts.
 
-All are functions from DataFrames to a DataFrame. Joins are left to Catalyst, which broadcasts keys that are few and shuffles
-otherwise, splitting skewed partitions; target rows are read once.
+The probe is a semi join that is left to Catalyst, which broadcasts keys that are few and shuffles otherwise, splitting skewed
+partitions; target rows are read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,26 +17,6 @@ class MergeError(ValueError):
     """A merge that its rows forbid."""
 
 
-def drop_replace(target: DataFrame | None, source: DataFrame) -> DataFrame:
-    """The source, with its own schema."""
-    return source
-
-
-def truncate_insert(target: DataFrame, source: DataFrame) -> DataFrame:
-    """The source's rows in the target's columns and types."""
-    return source.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema.fields))
-
-
-def delete_insert(target: DataFrame, source: DataFrame, keys: Mapping[str, Any]) -> DataFrame:
-    """Target rows equal to all key values go; all source rows come. A row whose key is null is equal to nothing and stays."""
-    if not keys:
-        raise MergeError("delete_insert needs keys")
-    hit: Column = F.lit(True)
-    for k, v in keys.items():
-        hit = hit & (F.col(f"`{k}`") == F.lit(v).cast(target.schema[k].dataType))
-    return target.where(~F.coalesce(hit, F.lit(False))).unionByName(source)
-
-
 def _aliased(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     missing = [k for k in keys if k not in df.columns]
     if missing:
@@ -53,35 +32,9 @@ def _matches(target: DataFrame, keys: Sequence[str], null_safe: bool) -> Column:
     return out
 
 
-def sql_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *, check: bool = True) -> DataFrame:
-    """MERGE ... WHEN MATCHED UPDATE ... WHEN NOT MATCHED INSERT: null keys match nothing; two source rows for one target row are an error."""
-    own = _aliased(source, keys)
-    if check:
-        names = own.columns
-        twice = own.groupBy(*names).count().where("count > 1")
-        hit = target.join(twice, _matches(target, keys, False), "left_semi")
-        if not hit.isEmpty():
-            raise MergeError("a target row is matched by more than one source row")
-    _aliased(target, keys)
-    return target.join(own, _matches(target, keys, False), "left_anti").unionByName(source)
-
-
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], *, allow_null_keys: bool = False, check: bool = True) -> DataFrame:
-    """Target rows whose key the source has go; all source rows come, repeated ones too.
-
-    Null keys are an error, or, if allowed, equal to each other.
-    """
-    own, _ = _aliased(source, keys), _aliased(target, keys)
-    if check and not allow_null_keys:
-        refuse_null_keys(source, keys)
-    # Repeated keys do no harm to an anti join; to remove them first would cost a shuffle of its own.
-    return target.join(own, _matches(target, keys, allow_null_keys), "left_anti").unionByName(source)
-
-
-def refuse_null_keys(source: DataFrame, keys: Sequence[str]) -> None:
-    _aliased(source, keys)
-    bad = source.agg(*(F.count_if(F.col(f"`{k}`").isNull()).alias(f"n{i}") for i, k in enumerate(keys))).first()
-    for k, n in zip(keys, bad, strict=True):
+def refuse_nulls(keys: Sequence[str], nulls: Sequence[int | None]) -> None:
+    """nulls: how many rows of the source have a null in each key."""
+    for k, n in zip(keys, nulls, strict=True):
         if n:
             raise MergeError(f"{n} source rows have a null in key {k!r}")
 
@@ -100,11 +53,3 @@ class MergeStats:
     files_removed: int = 0
     skipped: bool = False
     skipped_version: int | None = None
-
-
-def merge_counts(target: DataFrame, source: DataFrame, keys: Sequence[str], *, null_safe: bool = False) -> DataFrame:
-    """One row: source_rows, matched_rows (may exceed it where target keys repeat) and inserted_rows, at least 0."""
-    n = source.agg(F.count("*").alias("source_rows"))
-    m = matched_rows(target, source, keys, null_safe=null_safe).agg(F.count("*").alias("matched_rows"))
-    # Both sides are one row.
-    return n.join(F.broadcast(m), F.lit(True)).select("source_rows", "matched_rows", F.greatest(F.lit(0), F.col("source_rows") - F.col("matched_rows")).cast("long").alias("inserted_rows"))

@@ -59,8 +59,9 @@ def run_task(spark: SparkSession, task: Task) -> Phase | None:
         for make in task.sinks:
             built.append(make())
         columns = layered(from_schema(source.df.schema), [source.columns])
+        # A destination runs its input once, and counts it there; with several, it is kept, so that the source is read once for all.
         df = source.df
-        if len(built) > 1:  # read once for all destinations
+        if len(built) > 1:
             df = df.persist()
             kept.append(df)
         shared: dict[str, tuple[DataFrame, list[ColumnSpec]]] = {}
@@ -86,7 +87,8 @@ def run_task(spark: SparkSession, task: Task) -> Phase | None:
     try:
         with ThreadPoolExecutor(max(1, len(built))) as pool:
             outcomes = list(pool.map(_published, built))
-        rows = df.count()
+        # One that had nothing to do may not have run it at all.
+        rows = next((sink.source_rows for sink in built if sink.source_rows is not None), 0)
     finally:
         for d in kept:
             d.unpersist()
@@ -183,7 +185,7 @@ def _sink(spark: SparkSession, b: Block, ctx: dict[str, Any], env: Environment,
             except ValueError as e:
                 raise ConfigError(f"batch_version must be a whole number: {e}") from None
             txn = Txn(app, b.get("watermark_column") if mode == "source_watermark" else None, number)
-        return lambda: DeltaSink(spark, join_url(url.removeprefix("delta+"), target), target, b.columns, merge_keys=b.get("merge_keys") or (), allow_null_keys=bool(b.get("allow_null_keys")), txn=txn, max_rows=b.get("max_rows"))
+        return lambda: DeltaSink(spark, join_url(url.removeprefix("delta+"), target), target, b.columns, merge_keys=b.get("merge_keys") or (), allow_null_keys=bool(b.get("allow_null_keys")), txn=txn, max_rows=b.get("max_rows"), max_bytes=b.get("max_bytes"))
     schema, dot, name = target.partition(".")
     if not dot:
         raise ConfigError(f"a database target is schema.table, not {target!r}")

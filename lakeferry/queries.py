@@ -14,7 +14,7 @@ from lakeferry.functions.casts import apply_casts
 from lakeferry.functions.paths import PathPattern, resolve_url, url_parts
 from lakeferry.functions.types import ColumnSpec as S
 from lakeferry.functions.types import SchemaError, from_schema
-from lakeferry.operators import stats, strategies
+from lakeferry.operators import stats
 from lakeferry.operators.schema import SchemaChange, layered
 from lakeferry.plans.config import parse
 from lakeferry.plans.environment import Environment
@@ -146,7 +146,7 @@ def both(name: str, sql: str, *tables: str) -> None:
 
 both("src_sql_cube", "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", "orders")
 both("src_sql_rollup", "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n, max(l_shipdate) AS latest FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem")
-both("src_sql_full_join", "SELECT coalesce(c.k, -1) AS customer, coalesce(o.k, -1) AS orderer, coalesce(o.n, 0) AS n FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) c FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) o ON c.k = o.k", "customer", "orders")
+both("src_sql_full_join", "SELECT coalesce(c.k, -1) AS customer, coalesce(o.k, -1) AS orderer, coalesce(o.n, 0) AS n FROM (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) c FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) o ON c.k = o.k", "customer", "orders")
 both("src_sql_range_join", "SELECT n_nationkey, count(*) AS n FROM nation JOIN customer ON c_acctbal >= n_nationkey * 100 AND c_acctbal < n_nationkey * 100 + 50 GROUP BY n_nationkey", "nation", "customer")
 # The last earlier event of the user: one pass over each user's rows in time order instead of a join.
 both("src_sql_asof", "SELECT event_id, coalesce(max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM events", "events")
@@ -157,6 +157,33 @@ both("src_sql_distinct_having", "SELECT l_suppkey, count(DISTINCT l_partkey) AS
 both("src_sql_running", "SELECT event_id, sum(CAST(value AS decimal(18,4))) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 200 AS high, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id) AS quarter FROM events", "events")
 
 
+both("src_sql_math", "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, floor(p_retailprice / 7) AS sevenths, abs(p_size - 25) AS off, power(2, p_size % 8) AS two, sign(p_size - 25) AS s FROM part", "part")
+# Each event with the last order that its user placed before: rows of both tables meet in one pass over each user's in time order,
+# instead of a join of ranges.
+ASOF = "SELECT event_id, coalesce(seen, -1) AS seen FROM (SELECT event_id, {} OVER (PARTITION BY k ORDER BY moment, side, o, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM (SELECT user_id AS k, ts AS moment, 1 AS side, CAST(NULL AS BIGINT) AS o, event_id FROM events UNION ALL SELECT o_custkey, o_orderdate, 0, o_orderkey, CAST(NULL AS BIGINT) FROM orders) x) y WHERE event_id IS NOT NULL"
+
+
+@query("src_sql_asof_join", ASOF.format("last_value(o IGNORE NULLS)"))
+def _(spark, d):
+    views(spark, d, "events", "orders")
+    return readers.query(spark, ASOF.format("last_value(o) IGNORE NULLS")).df
+
+
+@query("src_sql_udf", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'rich' END AS band, c_acctbal * 2 AS doubled FROM customer")
+def _(spark, d):
+    """Functions that a load's statements define."""
+    views(spark, d, "customer")
+    pre = "CREATE OR REPLACE TEMPORARY FUNCTION band_of(x DOUBLE) RETURNS STRING RETURN CASE WHEN x < 0 THEN 'debt' WHEN x < 5000 THEN 'some' ELSE 'rich' END; CREATE OR REPLACE TEMPORARY FUNCTION twice(x DOUBLE) RETURNS DOUBLE RETURN x * 2"
+    return readers.query(spark, "SELECT c_custkey, band_of(c_acctbal) AS band, twice(c_acctbal) AS doubled FROM customer", pre_sql=pre).df
+
+
+@query("src_sql_approximate", "SELECT true AS near_count, true AS near_median FROM orders HAVING count(*) > 0")
+def _(spark, d):
+    """Sketches within their error bounds of the exact values."""
+    views(spark, d, "orders")
+    return readers.query(spark, "SELECT abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.15 * count(DISTINCT o_custkey) AS near_count, abs(approx_percentile(o_totalprice, 0.5, 10000) - percentile(o_totalprice, 0.5)) <= 0.02 * percentile(o_totalprice, 0.5) AS near_median FROM orders").df
+
+
 @query("src_csv_nulls", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_nationkey FROM customer")
 def _(spark, d):
     folder = scratch(spark)
@@ -281,125 +308,155 @@ def _(spark, d):
     return spark.createDataFrame([found], "error string, named string")
 
 
-# Strategies
+# Strategies: what loads run, against Derby as the database and against tables under a log. Sides are shares of the key range, so
+# that they grow with the table: the target holds keys below six tenths of the greatest, the source those from four tenths on.
+
+LO, HI = "(SELECT max({0}) * 4 // 10 FROM {1})", "(SELECT max({0}) * 6 // 10 FROM {1})"
+
+
+def sided(sql: str, key: str, table: str) -> str:
+    """SQL with the bounds in place of LO and HI."""
+    return sql.replace("LO", LO.format(key, table)).replace("HI", HI.format(key, table))
+
+
+def sides(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    most = df.agg(F.max(key)).first()[0]
+    return df.where(F.col(key) < most * 6 // 10), df.where(F.col(key) >= most * 4 // 10)
+
+
+def in_database(spark: SparkSession, target: DataFrame, source: DataFrame, strategy: str, **more) -> DataFrame:
+    """The table after the target was put there and the source loaded over it."""
+    from lakeferry.sinks.jdbc import JdbcSink
+
+    url = f"jdbc:derby:memory:{scratch(spark).rpartition('-')[2]};create=true"
+    for df, kind, own in ((target, "drop_replace", {}), (source, strategy, more)):
+        sink = JdbcSink(spark, url, "S.T", kind, **own)
+        sink.prepare(df, from_schema(df.schema))
+        sink.publish()
+    return readers.jdbc(spark, url, "S.T").df
 
 
-def sides(spark, d, name, key, source_from, target_below):
-    own = t(spark, d, name)
-    return own.where(F.col(key) < target_below), own.where(F.col(key) >= source_from)
+def merged(spark: SparkSession, target: DataFrame, source: DataFrame, keys: list[str], **more) -> DataFrame:
+    """The rows of a table under a log after the source was merged into the target."""
+    table = log_table(spark)
+    table.overwrite(target)
+    table.merge(source, keys, **more)
+    return table.read()
 
 
-@query("strategy_drop_replace", "SELECT c_custkey, upper(c_mktsegment) AS segment FROM customer WHERE c_custkey >= 700")
+@query("strategy_drop_replace", sided("SELECT c_custkey, upper(c_mktsegment) AS segment FROM customer WHERE c_custkey >= LO", "c_custkey", "customer"))
 def _(spark, d):
-    target, source = sides(spark, d, "customer", "c_custkey", 700, 900)
-    return strategies.drop_replace(target, source.select("c_custkey", F.upper("c_mktsegment").alias("segment")))
+    target, source = sides(t(spark, d, "customer"), "c_custkey")
+    return in_database(spark, target, source.select("c_custkey", F.upper("c_mktsegment").alias("segment")), "drop_replace")
 
 
-@query("strategy_truncate_insert", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey >= 700")
+@query("strategy_truncate_insert", sided("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer WHERE c_custkey >= LO", "c_custkey", "customer"))
 def _(spark, d):
-    target, source = sides(spark, d, "customer", "c_custkey", 700, 900)
-    return strategies.truncate_insert(target.select("c_custkey", "c_nationkey"), source.select(F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "c_custkey"))
+    target, source = sides(t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("c_nationkey")), "c_custkey")
+    return in_database(spark, target, source.select("c_nationkey", "c_custkey"), "truncate_insert")
 
 
-@query("strategy_delete_insert", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') UNION ALL SELECT o_orderkey, o_orderstatus, 0.0 FROM orders WHERE o_orderstatus = 'O'")
+@query("strategy_delete_insert", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') UNION ALL SELECT o_orderkey, o_orderstatus, 0.0, o_orderpriority FROM orders WHERE o_orderstatus = 'O'")
 def _(spark, d):
     own = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     source = own.where("o_orderstatus = 'O'").withColumn("o_totalprice", F.lit(0.0))
-    return strategies.delete_insert(own, source, {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}).drop("o_orderpriority")
+    return in_database(spark, own, source, "delete_insert", delete_values={"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
 
 
-@query("strategy_sql_merge", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 700 UNION ALL SELECT c_custkey, c_name, c_acctbal + 1 FROM customer WHERE c_custkey >= 700")
+@query("strategy_jdbc_merge", sided("SELECT c_custkey AS k, CASE WHEN c_custkey >= LO THEN 'new ' ELSE 'old ' END || c_name AS v, CASE WHEN c_custkey < HI THEN c_acctbal END AS kept FROM customer", "c_custkey", "customer"))
 def _(spark, d):
-    target, source = sides(spark, d, "customer", "c_custkey", 700, 900)
-    cols = ("c_custkey", "c_name", "c_acctbal")
-    return strategies.sql_merge(target.select(*cols), source.select(*cols).withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
+    """The source lacks a column of the target, which keeps what it holds."""
+    target, source = sides(t(spark, d, "customer"), "c_custkey")
+    named = lambda df, word: df.select(F.col("c_custkey").alias("k"), F.concat(F.lit(word), "c_name").alias("v"), F.col("c_acctbal").alias("kept"))
+    return in_database(spark, named(target, "old "), named(source, "new ").drop("kept"), "merge", keys=["k"])
 
 
-@query("strategy_jdbc_merge", "SELECT n_nationkey AS k, CASE WHEN n_nationkey >= 10 THEN 'new ' ELSE 'old ' END || n_name AS v FROM nation")
-def _(spark, d):
-    from lakeferry.sinks.jdbc import JdbcSink
-
-    url = f"jdbc:derby:memory:{scratch(spark).rpartition('-')[2]};create=true"
-    own = t(spark, d, "nation")
-    for low, high, word, kind in ((0, 15, "old ", "drop_replace"), (10, 99, "new ", "merge")):
-        df = own.where(F.col("n_nationkey").between(low, high)).select(F.col("n_nationkey").alias("k"), F.concat(F.lit(word), "n_name").alias("v"))
-        sink = JdbcSink(spark, url, "S.T", kind, keys=["k"])
-        sink.prepare(df, from_schema(df.schema))
-        sink.publish()
-    return readers.jdbc(spark, url, "S.T").df
+@query("upsert_basic", sided("SELECT o_orderkey, o_custkey, o_totalprice + CASE WHEN o_orderkey >= LO THEN 1 ELSE 0 END AS o_totalprice FROM orders", "o_orderkey", "orders"))
+def upsert_basic(spark, d):
+    target, source = sides(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+    return merged(spark, target, source.withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
 
 
-@query("upsert_basic", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey < 6000 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice + 1 FROM orders WHERE o_orderkey >= 6000")
-def upsert_basic(spark, d):
-    own = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return strategies.upsert(own.where("o_orderkey < 9000"), own.where("o_orderkey >= 6000").withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
+@query("upsert_string_key", sided("SELECT c_name, CASE WHEN c_custkey >= LO THEN -c_custkey ELSE c_custkey END AS c_custkey FROM customer", "c_custkey", "customer"))
+def _(spark, d):
+    target, source = sides(t(spark, d, "customer").select("c_name", "c_custkey"), "c_custkey")
+    return merged(spark, target, source.withColumn("c_custkey", -F.col("c_custkey")), ["c_name"])
 
 
-@query("upsert_string_key", "SELECT c_name, c_custkey FROM customer WHERE c_custkey < 500 UNION ALL SELECT c_name, -c_custkey FROM customer WHERE c_custkey >= 500")
+@query("upsert_timestamp_key", sided("SELECT event_id, ts FROM events e WHERE event_id < HI AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id >= LO AND s.ts = e.ts) UNION ALL SELECT -event_id, ts FROM events WHERE event_id >= LO", "event_id", "events"))
 def _(spark, d):
-    own = t(spark, d, "customer").select("c_name", "c_custkey")
-    return strategies.upsert(own.where("c_custkey < 1000"), own.where("c_custkey >= 500").withColumn("c_custkey", -F.col("c_custkey")), ["c_name"])
+    target, source = sides(t(spark, d, "events").select("event_id", "ts"), "event_id")
+    return merged(spark, target, source.withColumn("event_id", -F.col("event_id")), ["ts"])
 
 
-@query("upsert_timestamp_key", "SELECT event_id, ts FROM events e WHERE event_id < 6000 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id >= 4000 AND s.ts = e.ts) UNION ALL SELECT event_id + 100000, ts FROM events WHERE event_id >= 4000")
+@query("upsert_decimal_key", sided("SELECT CAST(k AS VARCHAR) AS k, v FROM (SELECT CAST(o_orderkey AS decimal(18,2)) AS k, CASE WHEN o_orderkey >= LO THEN 'new' ELSE o_orderstatus END AS v FROM orders)", "o_orderkey", "orders"))
 def _(spark, d):
-    own = t(spark, d, "events").select("event_id", "ts")
-    return strategies.upsert(own.where("event_id < 6000"), own.where("event_id >= 4000").withColumn("event_id", F.col("event_id") + 100_000), ["ts"])
+    own = t(spark, d, "orders").select(F.col("o_orderkey"), F.col("o_orderkey").cast("decimal(18,2)").alias("k"), F.col("o_orderstatus").alias("v"))
+    target, source = (x.drop("o_orderkey") for x in sides(own, "o_orderkey"))
+    return merged(spark, target, source.withColumn("v", F.lit("new")), ["k"]).withColumn("k", F.col("k").cast("string"))
 
 
-@query("upsert_composite_key", "WITH s AS (SELECT * FROM lineitem WHERE l_suppkey % 3 = 0) SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem x WHERE l_suppkey % 3 = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.l_orderkey = x.l_orderkey AND s.l_linenumber = x.l_linenumber) UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey FROM s")
+@query("upsert_composite_key", sided("WITH s AS (SELECT * FROM lineitem WHERE l_suppkey >= LO) SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem x WHERE l_suppkey < HI AND NOT EXISTS (SELECT 1 FROM s WHERE s.l_orderkey = x.l_orderkey AND s.l_linenumber = x.l_linenumber) UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey FROM s", "l_suppkey", "lineitem"))
 def _(spark, d):
-    own = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    return strategies.upsert(own.where("l_suppkey % 3 = 1"), own.where("l_suppkey % 3 = 0"), ["l_orderkey", "l_linenumber"])
+    target, source = sides(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey")
+    return merged(spark, target, source, ["l_orderkey", "l_linenumber"])
 
 
-@query("upsert_payload", "SELECT doc_id, text, lang FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, upper(lang) || ' ' || source, lang FROM documents WHERE doc_id % 4 = 0")
+@query("upsert_payload", "SELECT doc_id, CASE WHEN lang <> 'en' THEN upper(lang) || ' ' || source ELSE text END AS text, lang FROM documents")
 def _(spark, d):
     own = t(spark, d, "documents")
-    return strategies.upsert(own.select("doc_id", "text", "lang"), own.where("doc_id % 4 = 0").select("doc_id", F.concat(F.upper("lang"), F.lit(" "), "source").alias("text"), "lang"), ["doc_id"])
+    return merged(spark, own.select("doc_id", "text", "lang"), own.where("lang <> 'en'").select("doc_id", F.concat(F.upper("lang"), F.lit(" "), "source").alias("text"), "lang"), ["doc_id"])
 
 
-@query("upsert_conversations", "SELECT conv_id, turn, role, text FROM conversations WHERE turn <> 1 UNION ALL SELECT conv_id, turn, 'edited', text FROM conversations WHERE turn = 1")
+@query("upsert_conversations", "SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'edited' ELSE role END AS role, text FROM conversations")
 def _(spark, d):
     own = t(spark, d, "conversations")
-    return strategies.upsert(own, own.where("turn = 1").withColumn("role", F.lit("edited")), ["conv_id", "turn"])
+    return merged(spark, own, own.where("turn = 1").withColumn("role", F.lit("edited")), ["conv_id", "turn"])
 
 
 @query("upsert_all_match", "SELECT o_orderkey, 'X' AS o_orderstatus FROM orders")
 def _(spark, d):
     own = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return strategies.upsert(own, own.withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+    return merged(spark, own, own.withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
 
 
-@query("upsert_empty_target", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 500")
+@query("upsert_empty_target", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(spark, d):
     own = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return strategies.upsert(own.where("false"), own.where("o_orderkey < 500"), ["o_orderkey"])
+    return merged(spark, own.where("false"), own, ["o_orderkey"])
 
 
-@query("upsert_twice", "SELECT o_orderkey, CASE WHEN o_orderkey < 500 THEN 'A' WHEN o_orderkey < 1000 THEN 'B' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+@query("upsert_twice", sided("SELECT o_orderkey, CASE WHEN o_orderkey >= LO THEN 'B' WHEN o_orderkey < HI THEN 'A' END AS o_orderstatus FROM orders", "o_orderkey", "orders"))
 def _(spark, d):
-    own = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    put = lambda low, high, v: own.where(F.col("o_orderkey").between(low, high)).withColumn("o_orderstatus", F.lit(v))
-    return strategies.upsert(strategies.upsert(own, put(0, 499, "A"), ["o_orderkey"]), put(500, 999, "B"), ["o_orderkey"])
+    own, table = t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), log_table(spark)
+    table.overwrite(own)
+    for df, word in zip(sides(own, "o_orderkey"), "AB", strict=True):
+        table.merge(df.withColumn("o_orderstatus", F.lit(word)), ["o_orderkey"])
+    return table.read()
 
 
-@query("upsert_null_keys", "WITH x AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS k, c_custkey AS v FROM customer) SELECT coalesce(k, -1) AS k, v FROM x a WHERE v < 800 AND NOT EXISTS (SELECT 1 FROM x s WHERE s.v >= 600 AND s.k IS NOT DISTINCT FROM a.k) UNION ALL SELECT coalesce(k, -1), v FROM x WHERE v >= 600")
+@query("upsert_null_keys", sided("WITH x AS (SELECT CASE WHEN c_nationkey > 2 THEN c_custkey END AS k, c_custkey AS v FROM customer) SELECT coalesce(k, -1) AS k, v FROM x a WHERE v < HI AND NOT EXISTS (SELECT 1 FROM x s WHERE s.v >= LO AND s.k IS NOT DISTINCT FROM a.k) UNION ALL SELECT coalesce(k, -1), v FROM x WHERE v >= LO", "c_custkey", "customer"))
 def _(spark, d):
-    own = t(spark, d, "customer").select(F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey")).alias("k"), F.col("c_custkey").alias("v"))
-    return strategies.upsert(own.where("v < 800"), own.where("v >= 600"), ["k"], allow_null_keys=True).withColumn("k", F.coalesce("k", F.lit(-1)))
+    own = t(spark, d, "customer").select(F.when(F.col("c_nationkey") > 2, F.col("c_custkey")).alias("k"), F.col("c_custkey").alias("v"))
+    return merged(spark, *sides(own, "v"), ["k"], allow_null_keys=True).withColumn("k", F.coalesce("k", F.lit(-1)))
+
+
+def counted(spark: SparkSession, target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    table = log_table(spark)
+    table.overwrite(target)
+    s = table.merge(source, keys)
+    return spark.createDataFrame([(s.source_rows, s.matched_rows, s.inserted_rows)], "source_rows long, matched_rows long, inserted_rows long")
 
 
-@query("upsert_dup_target_stats", "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 1000), m AS (SELECT count(*) AS n FROM lineitem x JOIN s USING (l_orderkey, l_linenumber)) SELECT (SELECT count(*) FROM s) AS source_rows, n AS matched_rows, greatest(0, (SELECT count(*) FROM s) - n) AS inserted_rows FROM m")
+@query("upsert_dup_target_stats", "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'), m AS (SELECT count(*) AS n FROM lineitem x JOIN s USING (l_orderkey, l_linenumber)) SELECT (SELECT count(*) FROM s) AS source_rows, n AS matched_rows, greatest(0, (SELECT count(*) FROM s) - n) AS inserted_rows FROM m")
 def _(spark, d):
-    own = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    return strategies.merge_counts(own, own.where("l_orderkey < 1000").distinct(), ["l_orderkey", "l_linenumber"])
+    own = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return counted(spark, own.drop("l_returnflag"), own.where("l_returnflag = 'R'").drop("l_returnflag").distinct(), ["l_orderkey", "l_linenumber"])
 
 
-@query("merge_stats", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey >= 6000) AS source_rows, (SELECT count(*) FROM orders WHERE o_orderkey >= 6000 AND o_orderkey < 9000) AS matched_rows, (SELECT count(*) FROM orders WHERE o_orderkey >= 9000) AS inserted_rows")
+@query("merge_stats", sided("SELECT count(*) FILTER (o_orderkey >= LO) AS source_rows, count(*) FILTER (o_orderkey >= LO AND o_orderkey < HI) AS matched_rows, count(*) FILTER (o_orderkey >= HI) AS inserted_rows FROM orders", "o_orderkey", "orders"))
 def _(spark, d):
-    target, source = sides(spark, d, "orders", "o_orderkey", 6000, 9000)
-    return strategies.merge_counts(target, source, ["o_orderkey"])
+    return counted(spark, *sides(t(spark, d, "orders").select("o_orderkey"), "o_orderkey"), ["o_orderkey"])
 
 
 # Tables under a log
@@ -409,19 +466,28 @@ def log_table(spark) -> Table:
     return Table(spark, scratch(spark))
 
 
-@query("delta_overwrite_read", "SELECT c_custkey, c_name FROM customer WHERE c_custkey >= 100")
+@query("delta_overwrite_read", sided("SELECT c_custkey, c_name FROM customer WHERE c_custkey >= LO", "c_custkey", "customer"))
 def _(spark, d):
-    own, table = t(spark, d, "customer").select("c_custkey", "c_name"), log_table(spark)
-    table.overwrite(own.where("c_custkey < 100"))
-    table.overwrite(own.where("c_custkey >= 100"))
+    table = log_table(spark)
+    for df in sides(t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey"):
+        table.overwrite(df)
     return table.read()
 
 
-@query("delta_merge_on_read", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 6000 UNION ALL SELECT o_orderkey, o_totalprice * 2 FROM orders WHERE o_orderkey >= 6000")
+@query("delta_merge_on_read", sided("SELECT o_orderkey, o_totalprice * CASE WHEN o_orderkey >= LO THEN 2 ELSE 1 END AS o_totalprice FROM orders", "o_orderkey", "orders"))
 def _(spark, d):
-    own, table = t(spark, d, "orders").select("o_orderkey", "o_totalprice"), log_table(spark)
-    table.overwrite(own.where("o_orderkey < 9000"))
-    table.merge(own.where("o_orderkey >= 6000").withColumn("o_totalprice", F.col("o_totalprice") * 2), ["o_orderkey"])
+    target, source = sides(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return merged(spark, target, source.withColumn("o_totalprice", F.col("o_totalprice") * 2), ["o_orderkey"])
+
+
+@query("delta_partitioned", sided("SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey >= LO THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders", "o_orderkey", "orders"))
+def _(spark, d):
+    """A table partitioned by one column, merged by it and another."""
+    target, source = sides(t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderkey")
+    table = log_table(spark)
+    table.log.create(from_schema(target.schema), ["o_orderpriority"])
+    table.overwrite(target)
+    table.merge(source.withColumn("o_orderstatus", F.lit("new")), ["o_orderpriority", "o_orderkey"])
     return table.read()
 
 
@@ -450,19 +516,19 @@ def _(spark, d):
     return spark.createDataFrame([(v, ",".join(sorted({k for a in table.log.actions(v) for k in a}))) for v in table.log.versions()], "version int, actions string")
 
 
-@query("delta_merge_stats", "SELECT 500 AS source_rows, 300 AS matched_rows, 200 AS inserted_rows, 1 AS files_removed")
+@query("delta_merge_stats", sided("SELECT count(*) FILTER (o_orderkey >= LO) AS source_rows, count(*) FILTER (o_orderkey >= LO AND o_orderkey < HI) AS matched_rows, count(*) FILTER (o_orderkey >= HI) AS inserted_rows, 1 AS files_removed FROM orders", "o_orderkey", "orders"))
 def _(spark, d):
-    own, table = t(spark, d, "orders").select("o_orderkey", "o_custkey"), log_table(spark)
-    table.overwrite(own.where("o_orderkey < 1000").coalesce(1))
-    s = table.merge(own.where("o_orderkey between 700 and 1199").coalesce(1), ["o_orderkey"])
-    return spark.createDataFrame([(s.source_rows, s.matched_rows, s.inserted_rows, s.files_removed)], "source_rows int, matched_rows int, inserted_rows int, files_removed int")
+    (target, source), table = sides(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"), log_table(spark)
+    table.overwrite(target.repartition(1))
+    s = table.merge(source, ["o_orderkey"])
+    return spark.createDataFrame([(s.source_rows, s.matched_rows, s.inserted_rows, s.files_removed)], "source_rows long, matched_rows long, inserted_rows long, files_removed int")
 
 
-@query("txn_watermark_skip", "SELECT event_id, CASE WHEN ts > (SELECT max(ts) FROM events WHERE event_id < 5000) THEN 'second' WHEN event_id < 5000 THEN 'first' END AS v FROM events WHERE event_id < 5000")
+@query("txn_watermark_skip", "SELECT event_id, 'first' AS v FROM events")
 def _(spark, d):
     own, table = t(spark, d, "events").select("event_id", "ts"), log_table(spark)
     for word in ("first", "second"):  # the second load is not newer than what the first one committed
-        table.merge(own.where("event_id < 5000").withColumn("v", F.lit(word)), ["event_id"], txn=Txn("events", watermark_column="ts"))
+        table.merge(own.withColumn("v", F.lit(word)), ["event_id"], txn=Txn("events", watermark_column="ts"))
     return table.read().select("event_id", "v")
 
 
@@ -479,11 +545,13 @@ def _(spark, d):
     return stats.watermark(t(spark, d, "events"), "ts")
 
 
-@query("checkpoint_replay", "SELECT o_orderkey FROM orders WHERE o_orderkey < 1200")
+@query("checkpoint_replay", "SELECT o_orderkey FROM orders")
 def _(spark, d):
+    """Twelve merges that together bring all orders."""
     own, table = t(spark, d, "orders").select("o_orderkey"), log_table(spark)
+    most = own.agg(F.max("o_orderkey")).first()[0]
     for k in range(12):
-        table.merge(own.where(F.col("o_orderkey").between(100 * k, 100 * k + 99)).coalesce(1), ["o_orderkey"])
+        table.merge(own.where((F.col("o_orderkey") >= (most + 1) * k // 12) & (F.col("o_orderkey") < (most + 1) * (k + 1) // 12)), ["o_orderkey"])
     if table.log.snapshot().checkpoint != 10:
         raise AssertionError("no checkpoint at version 10")
     return table.read()
@@ -512,16 +580,32 @@ def _(spark, d):
     return stats.file_stats(own.select("event_type", "value"), [F.col("event_type")]).select("event_type", "num_records", "null_count_value", "min_value", "max_value")
 
 
-@query("key_bounds", "SELECT min(l_orderkey) AS min_l_orderkey, max(l_orderkey) AS max_l_orderkey, min(l_shipdate) AS min_l_shipdate, max(l_shipdate) AS max_l_shipdate FROM lineitem")
+def in_files(spark: SparkSession, df: DataFrame, key: str, n: int = 15) -> Table:
+    """A table of files by ranges of a key."""
+    table = log_table(spark)
+    table.overwrite(df.repartitionByRange(n, key).sortWithinPartitions(key))
+    return table
+
+
+@query("key_bounds", sided("SELECT CAST(min(l_orderkey) AS VARCHAR) AS least_order, CAST(max(l_orderkey) AS VARCHAR) AS greatest_order, min(l_shipdate) AS least_date, max(l_shipdate) + INTERVAL 1 MILLISECOND AS greatest_date FROM lineitem WHERE l_suppkey >= LO", "l_suppkey", "lineitem"))
 def _(spark, d):
-    return stats.key_bounds(t(spark, d, "lineitem"), ["l_orderkey", "l_shipdate"])
+    """The ranges of a merge's keys, from the statistics of what it has staged. Times are known to the millisecond, rounded up."""
+    _, source = sides(t(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_suppkey"), "l_suppkey")
+    table = log_table(spark)
+    staged = table.stage_merge(source, ["l_orderkey", "l_shipdate"])
+    own = table.ranges(table.log.snapshot(), staged.adds, staged.keys)
+    return spark.createDataFrame([(*map(str, own["l_orderkey"]), *own["l_shipdate"])], "least_order string, greatest_order string, least_date timestamp_ntz, greatest_date timestamp_ntz")
 
 
-@query("candidate_files", "SELECT o_orderkey // 1000 AS file, count(*) AS num_records FROM orders GROUP BY 1 HAVING min(o_orderkey) <= 4250 AND max(o_orderkey) >= 2750")
+@query("candidate_files", sided("SELECT count(*) AS matched, true AS pruned FROM orders WHERE o_orderkey >= HI", "o_orderkey", "orders"))
 def _(spark, d):
-    own = t(spark, d, "orders").select("o_orderkey")
-    files = stats.file_stats(own.withColumn("file", F.floor(F.col("o_orderkey") / 1000)), [F.col("file")])
-    return stats.candidate_files(files, stats.key_bounds(own.where("o_orderkey between 2750 and 4250"), ["o_orderkey"]), "o_orderkey").select("file", "num_records")
+    """Live rows that a probe reads of the files whose range meets the source's: here those are the same."""
+    own = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    hi = own.agg(F.max("o_orderkey")).first()[0] * 6 // 10
+    table = in_files(spark, own, "o_orderkey")
+    now, staged = table.log.snapshot(), table.stage_merge(own.where(F.col("o_orderkey") >= hi), ["o_orderkey"])
+    few = len(table.candidates(now, staged.adds, staged.keys)) < len(now.files)
+    return table.probe(now, staged.adds, staged.keys).agg(F.count("*").alias("matched")).withColumn("pruned", F.lit(few))
 
 
 @query("vacuum_classify", "SELECT * FROM (VALUES ('a.parquet', 'keep'), ('b.parquet', 'delete'), ('c.parquet', 'keep'), ('_delta_log/0.json', 'skip'), ('x/.hidden/d.parquet', 'skip'), ('_change_data/e.parquet', 'delete'), ('_p=1/f.parquet', 'delete'), ('_q=1/g.parquet', 'skip'), ('deletion_vector_1.bin', 'keep')) v(path, verdict)")
@@ -531,11 +615,11 @@ def _(spark, d):
     return classify(spark.createDataFrame(files, "path string, modified_ms long"), keep, 50, ("_p",)).select("path", "verdict")
 
 
-@query("vacuum_run", "SELECT 1 AS selected, 1 AS deleted, count(*) AS left_rows FROM nation WHERE n_nationkey >= 10")
+@query("vacuum_run", sided("SELECT 1 AS selected, 1 AS deleted, count(*) AS left_rows FROM orders WHERE o_orderkey >= LO", "o_orderkey", "orders"))
 def _(spark, d):
-    own, table = t(spark, d, "nation"), log_table(spark)
-    table.overwrite(own.where("n_nationkey < 10").coalesce(1))
-    table.overwrite(own.where("n_nationkey >= 10").coalesce(1))
+    table = log_table(spark)
+    for df in sides(t(spark, d, "orders"), "o_orderkey"):
+        table.overwrite(df.repartition(1))
     r = vacuum(spark, table.store.url, retention="0 seconds", unchecked=True)
     return table.read().agg(F.count("*").alias("left_rows")).select(F.lit(r.selected).alias("selected"), F.lit(r.deleted).alias("deleted"), "left_rows")
 

@@ -15,6 +15,7 @@ from lakeferry.shipping import ship
 
 class ArrowSink:
     kind = "arrow"
+    source_rows: int | None = None
 
     def __init__(self, out: BinaryIO, target: str, columns=()):
         if getattr(out, "isatty", lambda: False)():
@@ -41,6 +42,7 @@ class ArrowSink:
                 batch = pa.ipc.read_record_batch(pa.py_buffer(bytes(r.batch)), sent)
                 stream.write_batch(batch)
                 n += batch.num_rows
+        self.source_rows = n
         return Outcome(self.kind, self.target, files=[{"path": "-", "rows": n, "size_bytes": 0}])
 
     def abort(self) -> None:

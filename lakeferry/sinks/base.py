@@ -1,4 +1,6 @@
-"""The contract of a sink: prepare() does the work that can fail and leaves nothing visible; publish() makes it visible; abort() takes it back."""
+"""The contract of a sink: prepare() does the work that can fail and leaves nothing visible; publish() makes it visible; abort() takes it back.
+
+source_rows: how many rows came, once that is known; None if the sink has not run its input."""
 
 from __future__ import annotations
 
@@ -14,6 +16,7 @@ class Sink(Protocol):
     kind: str
     target: str
     columns: list[ColumnSpec]
+    source_rows: int | None
 
     def prepare(self, df: DataFrame, columns: list[ColumnSpec]) -> None: ...
 

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeferry.functions.catalog import from_jdbc
 from lakeferry.functions.types import ColumnSpec
 from lakeferry.plans.outcome import Outcome
 
@@ -45,6 +46,25 @@ class Connection:
         finally:
             s.close()
 
+    def value(self, sql: str) -> Any:
+        """The first column of the first row, None without one."""
+        s = self.own.createStatement()
+        try:
+            rows = s.executeQuery(sql)
+            return rows.getObject(1) if rows.next() else None
+        finally:
+            s.close()
+
+    def columns(self, schema: str, table: str) -> list[ColumnSpec]:
+        """A table's columns, by what the driver says of them; those of a type without a logical one are left out."""
+        rows, out = self.own.getMetaData().getColumns(None, None, self.tables(schema).get(table.lower(), table), None), []
+        while rows.next():
+            if (rows.getString("TABLE_SCHEM") or "").lower() != schema.lower():
+                continue
+            own = from_jdbc(rows.getString("COLUMN_NAME"), rows.getInt("DATA_TYPE"), rows.getInt("COLUMN_SIZE"), rows.getInt("DECIMAL_DIGITS"), rows.getString("TYPE_NAME"))
+            out += [own] if own else []
+        return out
+
     def tables(self, schema: str) -> dict[str, str]:
         """Names of the schema's tables, by their lower-case form."""
         rows, out = self.own.getMetaData().getTables(None, None, None, None), {}
@@ -54,8 +74,11 @@ class Connection:
         return out
 
 
+DRIVERS = {"jdbc:derby:": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "jdbc:postgresql:": "org.postgresql.Driver"}
+
+
 def driver_of(url: str) -> str:
-    for prefix, name in (("jdbc:derby:", "org.apache.derby.iapi.jdbc.AutoloadedDriver"), ("jdbc:postgresql:", "org.postgresql.Driver")):
+    for prefix, name in DRIVERS.items():
         if url.startswith(prefix):
             return name
     raise ValueError(f"no driver for {url}")
@@ -84,6 +107,7 @@ class JdbcSink:
         self.pre, self.post, self.role = pre_sql, post_sql, role
         self.schema, self.table = target.split(".")
         self.staging = f"{self.table}_{uuid.uuid4().hex[:12]}"
+        self.source_rows: int | None = None
         self.derby = self.url.startswith("jdbc:derby:")
 
     def _connect(self) -> Connection:
@@ -97,6 +121,8 @@ class JdbcSink:
                 c.run(f"CREATE SCHEMA IF NOT EXISTS {self.schema}")
             c.run(f"CREATE TABLE {self.schema}.{self.staging} ({types})")
         df.write.mode("append").jdbc(self.url, f"{self.schema}.{self.staging}", properties=self.properties)
+        with self._connect() as c:
+            self.source_rows = c.value(f"SELECT COUNT(*) FROM {self.schema}.{self.staging}")
 
     def _name(self, column: str) -> str:
         return f'"{column}"'
@@ -134,12 +160,15 @@ class JdbcSink:
                 else:
                     on = " AND ".join(f"t.{name(k)} = s.{name(k)}" for k in self.keys)
                     keys = ", ".join(f"s.{name(k)}" for k in self.keys)
-                    rows = c.own.createStatement().executeQuery(f"SELECT 1 FROM {staging} s WHERE EXISTS (SELECT 1 FROM {self.target} t WHERE {on}) GROUP BY {keys} HAVING COUNT(*) > 1")
-                    if rows.next():
+                    if c.value(f"SELECT 1 FROM {staging} s WHERE EXISTS (SELECT 1 FROM {self.target} t WHERE {on}) GROUP BY {keys} HAVING COUNT(*) > 1") is not None:
                         raise ValueError("a target row is matched by more than one source row")
-                    rows.close()
-                    c.run(f"DELETE FROM {self.target} AS t WHERE EXISTS (SELECT 1 FROM {staging} s WHERE {on})")
-                c.run(f"INSERT INTO {self.target} ({cols}) SELECT {cols} FROM {staging}")
+                    others = ", ".join(f"{name(n)} = s.{name(n)}" for n in self.names if n not in self.keys)
+                    values = ", ".join(f"s.{name(n)}" for n in self.names)
+                    # In place: columns that the source lacks keep what they hold, and rows of the target stay the same rows.
+                    matched = f" WHEN MATCHED THEN UPDATE SET {others}" if others else ""
+                    c.run(f"MERGE INTO {self.target} AS t USING {staging} AS s ON {on}{matched} WHEN NOT MATCHED THEN INSERT ({cols}) VALUES ({values})")
+                if self.strategy != "merge":
+                    c.run(f"INSERT INTO {self.target} ({cols}) SELECT {cols} FROM {staging}")
                 c.run(f"DROP TABLE {staging}")
             for s in statements(self.post or ""):
                 c.run(s)

@@ -23,6 +23,7 @@ class ParquetSink:
     partitions, none longer than max_rows, and split further until none is larger than about max_bytes."""
 
     kind = "pq"
+    source_rows: int | None = None
 
     def __init__(self, spark: SparkSession, url: str, target: str, namer: Callable[[int], str], columns: Sequence[ColumnSpec] = (), *, bloom_filters: Sequence[Sequence[str]] = (), max_rows: int | None = None, max_bytes: int | None = None):
         self.target, self.columns, self.namer = target, list(columns), namer
@@ -42,15 +43,21 @@ class ParquetSink:
 
     def prepare(self, df: DataFrame, columns: list[ColumnSpec]) -> None:
         self.schema = df.schema
-        self._write(df.coalesce(1) if self.one else df, self.max_rows)
+        # One file is one task's to write, but the scan and the casts before it stay parallel.
+        self._write(df.repartition(1) if self.one else df, self.max_rows)
         self.files = self._files()
         if self.max_bytes and max((x.size for x in self.files), default=0) > self.max_bytes:
             # Bytes are known only once written: so many rows a file as have them on average.
             rows = self._counted()
             per = max(1, math.floor(sum(rows.values()) * self.max_bytes / max(1, sum(x.size for x in self.files))))
-            self._write(df, min(per, self.max_rows or per))
+            before, self.folder = self.folder, f"_staging-{uuid.uuid4().hex}"
+            try:  # from what is written already: the source runs once
+                self._write(self.store.spark.read.schema(self.schema).parquet(self.store.full(before)), min(per, self.max_rows or per))
+            finally:
+                self.store.delete(before)
             self.files = self._files()
         self.rows = self._counted()
+        self.source_rows = sum(self.rows.values())
         if empty := [x for x in self.files if not self.rows.get(x.path.rpartition("/")[2])]:
             # Empty partitions leave no file; an empty load leaves one, so that no older file passes for its result.
             full = [x for x in self.files if x not in empty]

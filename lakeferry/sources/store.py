@@ -31,6 +31,10 @@ class Store:
     def full(self, rel: str) -> str:
         return join_url(self.url, rel)
 
+    def url_of(self, rel: str) -> str:
+        """A file's URL with what Hadoop escapes in it."""
+        return self._path(rel).toUri().toString()
+
     def read(self, rel: str) -> bytes:
         if self.local:
             with open(os.path.join(self.local, rel), "rb") as f:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 from lakeferry.deltalog.table import Table, Txn
@@ -27,8 +26,3 @@ def upsert_stream(stream: DataFrame, url: str, keys: Sequence[str], *, app_id: s
         Table(batch.sparkSession, url).merge(own, keys, txn=Txn(app_id, batch_version=batch_id))
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def ranked(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank") -> DataFrame:
-    """Rows numbered within their keys from the greatest in `order` down."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order))))

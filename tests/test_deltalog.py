@@ -10,6 +10,7 @@ from lakeferry.deltalog import vectors
 from lakeferry.deltalog.log import Conflict, TableLog
 from lakeferry.deltalog.table import Table, Txn
 from lakeferry.deltalog.vacuum import VacuumError, interval_ms, vacuum
+from lakeferry.functions.types import from_schema
 from lakeferry.operators.strategies import MergeError
 
 
@@ -73,6 +74,52 @@ def test_vectors_in_the_log_and_beside_it(spark, tmp_path):
     assert held(t) == [(1, 1)] and "deletionVectors" in t.log.snapshot().protocol["readerFeatures"]
 
 
+def test_partition_columns(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"))
+    df = spark.range(100).select("id", F.when(F.col("id") % 4 != 3, F.concat(F.lit("p/ä="), F.col("id") % 4)).alias("p"), F.lit("old").alias("v"))
+    t.log.create(from_schema(df.schema), ["p"])
+    t.overwrite(df.repartition(3))
+    adds = t.log.snapshot().files.values()
+    assert {a["partitionValues"]["p"] for a in adds} == {"p/ä=0", "p/ä=1", "p/ä=2", None} and all("p" not in json.loads(a["stats"])["minValues"] for a in adds)
+    assert sorted(map(tuple, t.read().collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    s = t.merge(spark.createDataFrame([(1, "p/ä=1", "new"), (2, "p/ä=1", "new"), (200, "q", "new")], df.schema), ["p", "id"])
+    assert (s.matched_rows, s.inserted_rows) == (1, 2) and t.read().count() == 102
+    assert sorted((r.id, r.p) for r in t.read().where("v = 'new'").collect()) == [(1, "p/ä=1"), (2, "p/ä=1"), (200, "q")]
+    t.merge(spark.createDataFrame([(3, None, "none")], df.schema), ["p"], allow_null_keys=True)
+    assert t.read().where("p is null").count() == 1 and t.read().count() == 102 - 25 + 1
+    with pytest.raises(MergeError, match="partitioned by 'p'"):
+        t.overwrite(df.drop("p"))
+
+
+@pytest.mark.parametrize("key", ["id", "cast(id as decimal(20,3))", "timestamp_seconds(id * 7) + interval 123456 microseconds", "cast(timestamp_seconds(id) as timestamp_ntz)", "cast(id as string)", "date_add(date '2001-01-01', cast(id as int))", "cast(id as double)"])
+def test_files_are_pruned_whatever_the_key(spark, tmp_path, key):
+    t = Table(spark, str(tmp_path / "t"))
+    own = spark.range(1000, 2000).selectExpr(f"{key} as k", "id as v")
+    t.overwrite(own.repartitionByRange(8, "k"))
+    some = own.where("v between 1010 and 1020").withColumn("v", -F.col("v"))
+    staged = t.stage_merge(some.coalesce(1), ["k"])
+    assert len(t.candidates(t.log.snapshot(), staged.adds, ["k"])) == 1
+    s = t.commit_merge(staged)
+    assert s.matched_rows == 11 and t.read().count() == 1000 and t.read().where("v < 0").count() == 11
+
+
+def test_the_source_runs_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(rows):
+        for b in rows:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(100).withColumn("w", F.col("id")).mapInArrow(passed, "id long, w long")
+    t = Table(spark, str(tmp_path / "t"))
+    t.merge(df, ["id"], txn=Txn("a", watermark_column="w"))
+    assert seen.value == 100
+    assert t.merge(df, ["id"], txn=Txn("a", watermark_column="w")).skipped and seen.value == 200
+    t.stage(df, max_bytes=200)
+    assert seen.value == 300
+
+
 def test_idempotency(spark, tmp_path):
     t = Table(spark, str(tmp_path / "t"))
     assert not t.merge(rows(spark, range(10)), ["id"], txn=Txn("a", watermark_column="updated_at")).skipped

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeferry import cli
 from lakeferry.deltalog.log import TableLog
 from lakeferry.deltalog.table import Table
+from lakeferry.functions.types import from_schema
 from lakeferry.plans import config as C
 from lakeferry.plans.config import ConfigError
 from lakeferry.plans.environment import Environment
@@ -304,10 +305,64 @@ def test_ingest(spark, tmp_path, capsys):
     assert storage_data("abfss://c@acc.dfs.core.windows.net/a/b") == {"type": "azure", "storage_account": "acc", "container": "c", "path": "a/b"}
 
 
-def test_catalog_types():
-    from lakeferry.functions.catalog import from_catalog
+def test_catalog_types(spark, tmp_path):
+    from lakeferry.functions.catalog import from_jdbc
+    from lakeferry.sinks.jdbc import Connection
 
-    assert [from_catalog("c", *x).ddl() for x in (("int2", -1), ("numeric", (18 << 16 | 4) + 4), ("varchar", 14), ("bpchar", 7), ("_text", -1), ("timestamptz", 3))] == ["smallint", "numeric(18, 4)", "varchar(10)", "varchar(3)", "jsonb", "timestamptz"]
-    assert from_catalog("c", "timestamp", -1).time_unit == "Micros" and from_catalog("c", "timestamp", 0).time_unit == "Second"
-    with pytest.raises(Exception, match="no logical type"):
-        from_catalog("c", "interval", -1)
+    assert [from_jdbc("c", *x).ddl() for x in ((5, 5, 0), (2, 18, 4), (12, 10, 0), (12, 2147483647, 0), (1111, 0, 0, "jsonb"), (93, 29, 3, "timestamptz"))] == ["smallint", "numeric(18, 4)", "varchar(10)", "text", "jsonb", "timestamptz"]
+    assert from_jdbc("c", 93, 29, 9).time_unit == "Micros" and from_jdbc("c", 93, 19, 0).time_unit == "Second" and from_jdbc("c", 1111, 0, 0, "point") is None
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    with Connection(spark, url) as c:
+        for name in ("S.T", "R.T"):
+            c.run(f"create table {name} (a int, b varchar(7), d decimal(9,2), w timestamp" + (", more int)" if name == "R.T" else ")"))
+        assert [(x.name, x.ddl()) for x in c.columns("s", "t")] == [("A", "integer"), ("B", "varchar(7)"), ("D", "numeric(9, 2)"), ("W", "timestamp")]
+    assert [c.kind for c in readers.jdbc(spark, url, "S.T").columns] == ["integer", "varchar", "numeric", "timestamp"]
+
+
+def test_merge_updates_in_place(spark, tmp_path):
+    from lakeferry.sinks.jdbc import Connection, JdbcSink
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    with Connection(spark, url) as c:
+        c.run('create table S.T ("k" int, "v" varchar(9), "extra" int)')
+        c.run("insert into S.T values (1, 'a', 10), (2, 'b', 20)")
+        c.run("create table S.GONE (n int)")
+        c.run("create trigger S.ondelete after delete on S.T for each row insert into S.GONE values (1)")
+    sink = JdbcSink(spark, url, "S.T", "merge", keys=["k"])
+    df = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
+    sink.prepare(df, from_schema(df.schema))
+    sink.publish()
+    assert sink.source_rows == 2 and sorted(map(tuple, readers.jdbc(spark, url, "S.T").df.collect())) == [(1, "a", 10), (2, "B", 20), (3, "C", None)]
+    assert readers.jdbc(spark, url, "S.GONE").df.count() == 0
+    only = JdbcSink(spark, url, "S.T", "merge", keys=["k"])
+    only.prepare(df.select("k"), from_schema(df.select("k").schema))
+    only.publish()
+    assert readers.jdbc(spark, url, "S.T").df.count() == 3
+
+
+def test_each_row_of_a_source_is_read_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(rows):
+        for b in rows:
+            seen.add(b.num_rows)
+            yield b
+
+    spark.range(100).mapInArrow(passed, "id long").createOrReplaceTempView("counted_rows")
+    env = Environment({"FERRY_DEST": f"file://{tmp_path}/out"})
+    for k, more in enumerate(({"dest": "pq", "filename": "a-{{ index }}.parquet"}, {"dest": "pq", "filename": "b.parquet"}, {"dest": "delta.merge", "merge_keys": ["id"]}, {"dest": "delta.overwrite", "max_bytes": 300}), 1):
+        [phase] = run(spark, [C.parse_table({"name": "counted_rows", "src": "table", **more}, {}, None, None)], env)
+        assert (phase.rows, seen.value) == (100, 100 * k)
+
+
+def test_finalize_hooks_of_the_command_line(spark, tmp_path):
+    (tmp_path / "hooks").mkdir()
+    (tmp_path / "hooks/note.py").write_text(f"def finalize(phase):\n    return [f\"create or replace temp view noted as select '{{phase.name}}' as name, {{phase.rows}} as n\"]\n")
+    text = "modules: hooks\ntables: [{name: r, src: sql, sql: 'select 1 as a', finalize: [{run: note}], destinations: [{dest: pq, filename: r.parquet}]}]"
+    (tmp_path / "load.yaml").write_text(text)
+    own = {"FERRY_DEST": f"file://{tmp_path}/out"}
+    assert cli.main(["ld", "--config", str(tmp_path / "load.yaml")], spark=spark, environment=own) == 0
+    assert tuple(spark.table("noted").first()) == ("r", 1)
+    (tmp_path / "load.yaml").write_text(text.replace("run: note", "run: nowhere"))
+    with pytest.raises(C.ConfigError, match="unknown finalize hook"):
+        cli.main(["ld", "--config", str(tmp_path / "load.yaml")], spark=spark, environment=own)
