@@ -10,8 +10,8 @@ less than 1 in 10,000 pairs with the defaults, for 0.96 and more less than 1 in
 
 Vectors that are equal, number by number, are one class; the class counts its rows. Only vectors of one label and dimension meet.
 A pair that meets in several tables is counted in the first, which both vectors' cells tell, so pairs are never gathered:
-a cell gives numbers of links for each class, and a spanning forest of its links. A cell with very many vectors is dealt out
-as blocks of them, each pair of blocks being a cell of its own.
+a cell gives numbers of links for each class, and a spanning forest of its links. A cell that very many vectors are filed in, or
+probe, is dealt out: both are divided into blocks, and each pair of a filed and a probing block is a cell of its own.
 
 Links: a vector's links are the other rows whose cosine reaches the threshold, rows of its own class among them. A
 component's id is the least id that links reach. Vectors that are null, empty or zero, or hold null, NaN or infinity, and rows
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import cut, narrow_batches, tidy
+from lakeferry.llm.base import cut, narrow_batches, remove, tidy
 from lakeferry.llm.components import Forest, components
 from lakeferry.llm.simhash import mixed
 
@@ -108,14 +108,13 @@ def unit(rows: pa.Array, dim: int) -> np.ndarray:
     """Packed vectors as unit vectors, in double precision."""
     data = b"".join(rows.to_pylist())
     x = np.frombuffer(data, np.float32 if len(data) == 4 * dim * len(rows) else np.float64).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is beyond what a double can hold
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def packed(vector: np.ndarray) -> bytes | None:
     """A usable vector's numbers, or None."""
-    with np.errstate(over="ignore"):
-        norm = np.linalg.norm(vector.astype(np.float64)) if len(vector) else 0
-    return vector.tobytes() if np.isfinite(norm) and norm > 0 and np.isfinite(vector).all() else None
+    return vector.tobytes() if len(vector) and np.isfinite(vector).all() and vector.any() else None
 
 
 def _pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,18 +251,20 @@ def links(classes: DataFrame, threshold: float = 0.93, lattice: Lattice | None =
     lattice = lattice or Lattice.suited(classes.count())
     spark = classes.sparkSession
     rows = classes.select("cls", "n", "grp", "vec").mapInArrow(_cells(lattice), "cell long, role byte, tab byte, cls long, n long, grp string, vec binary")
-    # Cells with more than a block of vectors, by an aggregation with partial sums over cells alone.
-    hot = cut(rows.where("role = 3").groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    # Cells with more than a block of filed or of probing vectors, by an aggregation with partial sums over cells and roles alone.
+    sizes = rows.groupBy("cell").agg(*(F.count_if(F.col("role").bitwiseAND(bit) > 0).alias(c) for c, bit in (("filed", 1), ("probing", 2))))
+    hot = cut(sizes.where(f"greatest(filed, probing) > {block}").select("cell", *(F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("filed", "probing"))))
     n = hot.count()
     if n:
-        # There are at most tables x classes / block of them: broadcast while that is known to be small.
-        dealt = rows.join(F.broadcast(hot) if n <= max_broadcast else hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-        dealt = dealt.withColumn("role", F.explode(F.when(F.col("blocks") == 1, F.array("role")).when(F.col("role") == 3, F.array(F.lit(1).cast("byte"), F.lit(2).cast("byte"))).otherwise(F.array("role"))))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        sub = F.when(F.col("role") == 1, F.struct(mine.alias("i"), F.col("other").alias("j"))).otherwise(F.struct(F.col("other").alias("i"), mine.alias("j")))
-        cell = F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", sub))
-        rows = dealt.select(cell.alias("cell"), "role", "tab", "cls", "n", "grp", "vec")
+        # There are at most tables x (1 + probes) x classes / block of them: broadcast while that is known to be small.
+        own = rows.join(F.broadcast(hot) if n <= max_broadcast else hot, "cell", "left")
+        cold, dealt = own.where("filed IS NULL").drop("filed", "probing"), own.where("filed > 0")  # where nothing is filed, nothing meets
+        # What is filed in block i meets what probes from block j in cell (i, j): a filed row goes to all j, a probing one to all i.
+        dealt = dealt.withColumn("role", F.explode(F.when(F.col("role") == 3, F.array(F.lit(1).cast("byte"), F.lit(2).cast("byte"))).otherwise(F.array("role"))))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 1, F.col("probing")).otherwise(F.col("filed")) - 1)))
+        mine = F.pmod(F.xxhash64("cls"), F.when(F.col("role") == 1, F.col("filed")).otherwise(F.col("probing"))).cast("int")
+        place = F.when(F.col("role") == 1, F.struct(mine.alias("i"), F.col("other").alias("j"))).otherwise(F.struct(F.col("other").alias("i"), mine.alias("j")))
+        rows = cold.unionByName(dealt.withColumn("cell", F.xxhash64("cell", place)).drop("filed", "probing", "other"))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(shuffles, "cell").sortWithinPartitions("cell").mapInArrow(_join(lattice, threshold), "a long, b long, n long")
 
@@ -283,7 +284,10 @@ def classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     root = components(found.where("b IS NOT NULL").select("a", "b"))
     of = same.select("cls", "grp", "key", "least", "n").join(many, "cls", "left").join(root, F.col("cls") == F.col("node"), "left")
     of = cut(of.select("grp", "key", "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written before they are joined: a component may hold a third of all rows, see components.
+    ids = cut(of.groupBy("root").agg(F.min("least").alias("component_id")))
+    for over in (found, same):
+        remove(df.sparkSession, over)
     of = of.join(ids, "root").select("grp", "key", "n_links", "component_id")
     linked = rows.where("key IS NOT NULL").select("id", "grp", "key").join(of, ["grp", "key"])
     alone = rows.where("key IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from lakeferry.llm import embed_dedup
 from lakeferry.llm.embed_dedup import Lattice, decoded, neighbours, report
 
 
@@ -80,3 +81,39 @@ def test_odd_tables(spark):
     got = report(df).collect()
     assert {r.n_links for r in got} == {3} and {r.component_id for r in got} == {5} and len(got) == 4
     assert report(df.limit(0)).count() == 0
+
+
+def test_very_large_and_small_numbers(spark):
+    v = [1.0, 2.0, -3.0, 0.5]
+    rows = [(k, [x * f for x in v], 1) for k, f in enumerate((1.0, 1e200, 1e-200, 1e300, 1e-310))] + [(9, [1e200, 0.0, 0.0, -1e200], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in report(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{k: (4, 0) for k in range(5)}, 9: (0, 9)}
+
+
+def test_a_cell_that_many_probe_is_dealt_out(spark, monkeypatch):
+    """Vectors around one centre: cells that few are filed in and very many probe. No cell of the join is larger than two blocks."""
+    r = np.random.default_rng(4)
+    centre = r.normal(size=16)
+    x = centre + r.normal(size=(3000, 16)) * 0.12
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    block, sizes, joined = 100, [], embed_dedup._join
+
+    def counted(lattice, threshold):
+        run = joined(lattice, threshold)
+
+        def both(rows):
+            held = [b for b in rows]
+            for b in held:
+                cells.add(b.column("cell").to_pylist())
+            yield from run(iter(held))
+
+        return both
+
+    cells = spark.sparkContext.accumulator([], type("Lists", (__import__("pyspark").AccumulatorParam,), {"zero": lambda self, v: [], "addInPlace": lambda self, a, b: a + b})())
+    monkeypatch.setattr(embed_dedup, "_join", counted)
+    got = {g.vec_id: (g.n_links, g.component_id) for g in report(df, block=block).collect()}
+    sizes = Counter(cells.value)
+    assert max(sizes.values()) <= 3 * block
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.93
+    assert all(got[k][0] == linked[k].sum() - 1 for k in range(len(x)))
