@@ -368,11 +368,10 @@ class LanguageID:
 
     There may be any number of languages, and the models hold all their n-grams. max_ngrams: of the highest order, for all languages
     together, if the models are to be smaller than that; the rarest are left out then, and with them maybe small languages.
-    calibration_rows: about so many texts, chosen by a hash among those of up to calibration_chars characters, calibrate confidence
-    and rejection.
+    calibration_rows: about so many texts, chosen by a hash, calibrate confidence and rejection.
     """
 
-    def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int | None = None, calibration_rows: int = 2000, calibration_chars: int = 20_000):
+    def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int | None = None, calibration_rows: int = 2000):
         spark = df.sparkSession
         narrow_batches(spark)
         counts = cut(count_ngrams(df, lang_col, text_col))
@@ -388,7 +387,7 @@ class LanguageID:
         own = [(gram[by[a:b]], n[by[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         model = kneser_ney(languages, own) if languages else Model([])
         if languages:
-            some = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where(f"lang IS NOT NULL AND length(text) <= {calibration_chars}")
+            some = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
             pairs = sorted((r.text, r.lang) for r in bounded_sample(some, calibration_rows, "text", "lang").collect() if r.lang in place)
             calibrate(model, [t for t, _ in pairs], [k for _, k in pairs])
         self.model, name = model, uuid.uuid4().hex

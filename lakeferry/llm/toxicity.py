@@ -6,8 +6,9 @@ of insults, and one that is learnt from labelled texts: words and beginnings of
 toxic texts. Trees see each text as a lexicon learnt on others sees it, and calibration sees scores of trees grown on others, so
 that neither trusts what was only memorised. All three are small and are sent to the executors; texts are scored whole.
 
-Fitting takes a bounded sample of labelled rows: about `max_rows`, at most twice as many, chosen by a hash, of texts up to
-`max_chars` characters. Null and empty texts have zero features and a score like any other. Without labelled rows of both kinds each
+Fitting takes a bounded sample of labelled rows: about `max_rows`, at most twice as many, chosen by a hash. Executors count their
+words and compute their features, whole texts of any length; the driver gets counts of entries that toxic texts share, and
+features, and grows the trees. Null and empty texts have zero features and a score like any other. Without labelled rows of both kinds each
 score is the share of toxic ones, or 0.5. Rows without a label, or with an id that has no label, are never learnt from. Repeated
 rows are scored each; labels that repeat for an id count once each; other columns change nothing.
 """
@@ -17,14 +18,14 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import bounded_sample, narrow_batches
+from lakeferry.llm.base import bounded_sample, cut, narrow_batches, remove
 
 # Insults in four languages, and second-person words.
 INSULTS = frozenset("""
@@ -53,27 +54,34 @@ def parts(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
-def counted(texts: list[str], toxic: np.ndarray) -> tuple[Counter, Counter]:
-    """In how many texts without and with the label each entry is."""
-    counts = (Counter(), Counter())
-    for t, y in zip(texts, toxic, strict=True):
-        counts[int(y)].update({p for w in set(WORD.findall(t.lower())) for p in parts(w)})
-    return counts
+def entries(text: str) -> set[str]:
+    return {p for w in set(WORD.findall(text.lower())) for p in parts(w)}
 
 
-def chosen(counts: tuple[Counter, Counter], n: tuple[int, int], least: int = 4, odds: float = 2.0, most: int = 20_000) -> dict[str, float]:
-    """Entries with their log-odds in toxic texts, where at least `least` of those have them and the odds stand out. n: texts of either kind."""
+def fold_of(text: str, folds: int) -> int:
+    """Texts are dealt into folds by a checksum, equal ones together."""
+    return zlib.crc32(text.encode("utf-8", "replace")) // 7 % folds
+
+
+def chosen(counts: Iterable[tuple[str, int, int]], n: tuple[int, int], least: int = 4, odds: float = 2.0) -> dict[str, float]:
+    """Entries with their log-odds in toxic texts, where at least `least` of those have them and the odds stand out. counts: of texts with
+    an entry, by label; n: texts of either label."""
     found = {}
-    for p, k in counts[1].items():
-        if k >= least:
-            score = np.log((k + 0.5) / (n[1] + 1)) - np.log((counts[0][p] + 0.5) / (n[0] + 1))
+    for p, clean, toxic in counts:
+        if toxic >= least:
+            score = np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
             if score >= odds:
                 found[p] = float(score)
-    return dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
+    return dict(sorted(found.items()))
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
-    return chosen(counted(texts, toxic), (int((toxic == 0).sum()), int((toxic == 1).sum())))
+def lexicons(counts: dict[str, np.ndarray], n: np.ndarray) -> list[dict[str, float]]:
+    """For each fold the lexicon learnt on the other ones, and in the end that of all. counts: for each entry texts by [fold, label], n: texts."""
+    out = []
+    for k in range(len(n) + 1):
+        own = [f for f in range(len(n)) if f != k]
+        out.append(chosen(((p, *c[own].sum(axis=0).tolist()) for p, c in counts.items()), tuple(n[own].sum(axis=0).tolist())))
+    return out
 
 
 Entry = tuple[float, bool, bool, bool] | tuple[()]
@@ -234,25 +242,28 @@ class Scorer:
         return np.clip(0.98 * np.interp(raw, self.places, self.values) + 0.02 / (1 + np.exp(-raw)), 0, 1)
 
 
-def fit(texts: list[str], labels: np.ndarray, folds: int = 3) -> Scorer:
-    """Texts are dealt into folds by a checksum, equal ones together. The features that trees and calibration learn from use a
-    lexicon learnt on the other folds, and calibration uses trees of the other folds."""
-    if len(set(labels.tolist())) < 2:
-        return Scorer({}, None, np.zeros(1), np.array([labels.mean() if len(labels) else 0.5]))
-    y, fold = labels.astype(float), np.array([zlib.crc32(t.encode()) // 7 % folds for t in texts])
-    x, raw = np.zeros((len(texts), len(NAMES))), np.zeros(len(texts))
-    each = [counted([texts[i] for i in np.flatnonzero(fold == k)], labels[fold == k]) for k in range(folds)]
-    total = (sum((c[0] for c in each), Counter()), sum((c[1] for c in each), Counter()))
-    kinds = lambda own: (int((own == 0).sum()), int((own == 1).sum()))
-    for k in range(folds):
-        own = np.flatnonzero(fold == k)
-        lexicon = Lexicon(chosen((total[0] - each[k][0], total[1] - each[k][1]), kinds(labels[fold != k])))
-        x[own] = np.array([features(texts[i], lexicon) for i in own]).reshape(len(own), len(NAMES))
-    for k in range(folds):
+def trained(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: dict[str, float]) -> Scorer:
+    """x: features of texts, each as the lexicon of the other folds sees it. Calibration uses trees of the other folds."""
+    if len(set(y.tolist())) < 2:
+        return Scorer({}, None, np.zeros(1), np.array([y.mean() if len(y) else 0.5]))
+    y, raw = y.astype(float), np.zeros(len(y))
+    for k in np.unique(fold):
         own, other = fold == k, fold != k
-        if own.any():
-            raw[own] = Boosted().fit(x[other], y[other])(x[own]) if other.any() else 0
-    return Scorer(chosen(total, kinds(labels)), Boosted().fit(x, y), *isotonic(raw, y))
+        raw[own] = Boosted().fit(x[other], y[other])(x[own]) if other.any() else 0
+    return Scorer(lexicon, Boosted().fit(x, y), *isotonic(raw, y))
+
+
+def fit(texts: list[str], labels: np.ndarray, folds: int = 3) -> Scorer:
+    """In one process what Toxicity does on executors."""
+    fold, n, counts = np.array([fold_of(t, folds) for t in texts], int), np.zeros((folds, 2), int), {}
+    for t, k, y in zip(texts, fold, labels, strict=True):
+        n[k, y] += 1
+        for p in entries(t):
+            counts.setdefault(p, np.zeros((folds, 2), int))[k, y] += 1
+    own = [Lexicon(x) for x in lexicons(counts, n)]
+    x = np.array([features(t, own[k]) for t, k in zip(texts, fold, strict=True)]).reshape(len(texts), len(NAMES))
+    by = np.lexsort((*x.T, labels, fold))
+    return trained(x[by], labels[by], fold[by], own[-1].learnt)
 
 
 #: In a Python worker, the model that it used last.
@@ -262,13 +273,38 @@ _SCORERS: dict[str, Scorer] = {}
 class Toxicity:
     """labelled: rows with a text and a label 0 or 1. max_rows: None if they are bounded already."""
 
-    def __init__(self, labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int | None = 12_000, max_chars: int = 20_000):
+    def __init__(self, labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int | None = 12_000, folds: int = 3, least: int = 4):
         spark = labelled.sparkSession
         narrow_batches(spark)
-        text, label = F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")
-        rows = labelled.select(text, label).where(f"label IN (0, 1) AND text IS NOT NULL AND length(text) <= {max_chars}")
-        rows = sorted((r.text, r.label) for r in (rows if max_rows is None else bounded_sample(rows, max_rows, "text", "label")).collect())
-        self.scorer, name = fit([t for t, _ in rows], np.array([y for _, y in rows], int)), uuid.uuid4().hex
+        rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label IN (0, 1) AND text IS NOT NULL")
+        rows = cut(rows if max_rows is None else bounded_sample(rows, max_rows, "text", "label"))
+
+        def counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                found = [(p, fold_of(t, folds), y) for t, y in zip(*(c.to_pylist() for c in b.columns), strict=True) for p in ("", *entries(t))]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))], ["entry", "fold", "label"])
+
+        # "" counts the texts themselves. Entries that fewer toxic texts have than a lexicon asks for stay behind.
+        cells = [F.count_if((F.col("fold") == k) & (F.col("label") == y)) for k in range(folds) for y in (0, 1)]
+        found = rows.mapInArrow(counts, "entry string, fold int, label int").groupBy("entry").agg(F.array(*cells).alias("n"), F.sum("label").alias("toxic"))
+        found = {r.entry: np.array(r.n, int).reshape(folds, 2) for r in found.where((F.col("toxic") >= least) | (F.col("entry") == "")).select("entry", "n").collect()}
+        own = lexicons({p: c for p, c in sorted(found.items()) if p}, found.get("", np.zeros((folds, 2), int)))
+        words = spark.sparkContext.broadcast(own)
+
+        def seen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by = [Lexicon(x) for x in words.value]
+            for b in parts:
+                texts, labels = (c.to_pylist() for c in b.columns)
+                fold = [fold_of(t, folds) for t in texts]
+                x = [features(t, by[k]) for t, k in zip(texts, fold, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(labels, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["fold", "label", "x"])
+
+        got = rows.mapInArrow(seen, "fold int, label int, x array<double>").toArrow()
+        fold, y = (got.column(c).to_numpy() for c in ("fold", "label"))
+        x = np.array(got.column("x").to_pylist(), float).reshape(len(y), len(NAMES))
+        by = np.lexsort((*x.T, y, fold))  # whatever order rows come in
+        self.scorer, name = trained(x[by], y[by], fold[by], own[-1]), uuid.uuid4().hex
+        remove(spark, rows)
         sent = spark.sparkContext.broadcast(self.scorer)
 
         @F.arrow_udf("double")

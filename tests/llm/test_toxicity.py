@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeferry.llm.toxicity import NAMES, Boosted, Lexicon, Scorer, features, fit, isotonic, learn_lexicon, report
+from lakeferry.llm.toxicity import NAMES, Boosted, Lexicon, Scorer, Toxicity, entries, features, fit, fold_of, isotonic, lexicons, report
 
 DATA = "/root/testdata/sf0.01"
 
@@ -41,9 +41,47 @@ def test_features():
 
 
 def test_lexicon_finds_beginnings():
-    texts = [f"lorem ipsum zorba{k} dolor" for k in "abcdefgh"] + ["lorem ipsum dolor sit"] * 40
-    found = learn_lexicon(texts, np.array([1] * 8 + [0] * 40))
-    assert "zorba" in found and "lorem" not in found
+    texts, labels = [f"lorem ipsum zorba{k} dolor" for k in "abcdefgh"] + ["lorem ipsum dolor sit"] * 40, [1] * 8 + [0] * 40
+    counts = {}
+    for t, y in zip(texts, labels):
+        for p in entries(t):
+            counts.setdefault(p, np.zeros((1, 2), int))[0, y] += 1
+    found = lexicons(counts, np.array([[40, 8]]))
+    assert found[0] == {} and "zorba" in found[1] and "lorem" not in found[1]
+
+
+def slow_tree(tree, edges, x):
+    """One tree's value of one text, node by node."""
+    feature, split, value = tree
+    k = 0
+    while k < len(feature) and feature[k] >= 0:
+        below = sum(e <= x[feature[k]] for e in edges[feature[k]])
+        k = 2 * k + 1 + (below > split[k])
+    return value[k]
+
+
+def test_scores_equal_brute_force(spark):
+    """What executors count and compute is what one process does over all texts; scores are those of trees walked node by node."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    df = docs.join(labels, "doc_id").select("text", "toxic").dropDuplicates()
+    rows = df.collect()
+    own = Toxicity(df.repartition(5), max_rows=None).scorer
+    texts, y = [r.text for r in rows], np.array([r.toxic for r in rows])
+    n, counts = np.zeros((3, 2), int), {}
+    for t, label in zip(texts, y):
+        n[fold_of(t, 3), label] += 1
+        for p in entries(t):
+            counts.setdefault(p, np.zeros((3, 2), int))[fold_of(t, 3), label] += 1
+    assert own.learnt == lexicons(counts, n)[-1]
+    assert np.allclose(own(texts), fit(texts, y)(texts))
+    for t in texts[:40]:
+        x = features(t, Lexicon(own.learnt))
+        raw = own.trees.base + sum(slow_tree(tree, own.trees.edges, x) for tree in own.trees.trees)
+        k = np.searchsorted(own.places, raw)
+        lo, hi = max(0, k - 1), min(k, len(own.places) - 1)
+        part = 0 if own.places[hi] == own.places[lo] else (raw - own.places[lo]) / (own.places[hi] - own.places[lo])
+        want = own.values[lo] + min(1, max(0, part)) * (own.values[hi] - own.values[lo])
+        assert abs(own([t])[0] - (0.98 * want + 0.02 / (1 + np.exp(-raw)))) < 1e-9
 
 
 def test_few_labels():
