@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeferry.functions.paths import join_url, local_path, resolve_url
 from lakeferry.functions.types import ColumnSpec, from_footer, from_warehouse
+from lakeferry.sources.scratch import shared_root
 
 
 class SourceError(RuntimeError):
@@ -117,7 +118,7 @@ def arrow_stream(spark: SparkSession, stream, staging: str | None = None) -> tup
 
     Returns a DataFrame, None for a stream without columns, and what removes the file again.
     """
-    root = staging or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = staging or shared_root(spark)
     folder = tempfile.mkdtemp(prefix="lakeferry-arrow-")
     path, to = os.path.join(folder, "stream.parquet"), None
     try:

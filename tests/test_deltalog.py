@@ -7,9 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakeferry.deltalog import vectors
-from lakeferry.deltalog.log import Conflict, TableLog
+from lakeferry.deltalog.log import Conflict, LogError, TableLog, interval_ms
 from lakeferry.deltalog.table import Table, Txn
-from lakeferry.deltalog.vacuum import VacuumError, interval_ms, vacuum
+from lakeferry.deltalog.vacuum import VacuumError, vacuum
 from lakeferry.functions.types import from_schema
 from lakeferry.operators.strategies import MergeError
 
@@ -204,5 +204,17 @@ def test_intervals(text, ms):
 
 @pytest.mark.parametrize("text", ["1 month", "2 years", "-1 days", "1.5 days", "3 days ago", "days", ""])
 def test_what_is_no_interval(text):
-    with pytest.raises(VacuumError):
+    with pytest.raises(LogError):
         interval_ms(text)
+
+
+def test_checkpoints_forget_files_that_vacuum_may_delete(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"))
+    for n in (5, 6, 7):
+        t.overwrite(rows(spark, range(n)).coalesce(1))
+    t.log.checkpoint()
+    assert len(t.log.snapshot().removed) == 2
+    own = t.log.snapshot()
+    t.log.commit(own.version + 1, [{"metaData": own.metadata | {"configuration": {"delta.deletedFileRetentionDuration": "interval 0 days"}}}])
+    t.log.checkpoint()
+    assert len(held(t)) == 7 and all(r["deletionTimestamp"] > 0 for r in t.log.snapshot().removed.values()) and len(t.log.snapshot().removed) == 0
