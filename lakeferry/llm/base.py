@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or, only where that is unset, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="lakeferry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lakeferry-{uuid.uuid4().hex}"
@@ -68,6 +70,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def refuse_taken(df: DataFrame, name: str) -> None:
+    """A result's column must not replace one of the table's."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {name!r} already; name another for the result")
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that text operators need, under fixed names, so that no other column can clash."""
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

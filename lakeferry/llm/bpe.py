@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import narrow_batches, tidy
+from lakeferry.llm.base import narrow_batches, refuse_taken, tidy
 
 #: Pre-tokens of up to so many characters are remembered, and about so many of them at once.
 CACHED_CHARS, CACHED = 40, 250_000
@@ -200,12 +200,14 @@ class ByteBPE:
 
 
 def encoded(df: DataFrame, bpe: ByteBPE, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with a column of ids."""
+    """df with a column of ids, which it must not have already."""
+    refuse_taken(df, ids_col)
     return df.withColumn(ids_col, bpe.encode(F.col(f"`{text_col}`").cast("string")))
 
 
 def decoded(df: DataFrame, bpe: ByteBPE, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """df with a column of the bytes that the ids stand for."""
+    """df with a column of the bytes that the ids stand for, which it must not have already."""
+    refuse_taken(df, bytes_col)
     return df.withColumn(bytes_col, bpe.decode(F.col(f"`{ids_col}`")))
 
 

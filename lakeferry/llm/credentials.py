@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import narrow_batches
+from lakeferry.llm.base import narrow_batches, refuse_taken
 
 # The kinds in order, and the patterns of the base kinds.
 KINDS = ("assign", "access", "hex", "random")
@@ -93,7 +93,8 @@ class SecretScan:
 
 
 def find_secrets(df: DataFrame, scan: SecretScan, text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
-    """df with a column of spans."""
+    """df with a column of spans, which it must not have already."""
+    refuse_taken(df, spans_col)
     return df.withColumn(spans_col, scan(F.col(f"`{text_col}`").cast("string")))
 
 

@@ -4,7 +4,8 @@ Words are runs of ASCII letters and digits, lower-cased, and of anything beyond
 of it, or all of its words where they are fewer. The windows of all items form a hash set from window to items,
 which is broadcast as long as its measured size stays within `max_broadcast` bytes. A text's windows are looked up where all
 of their words occur in windows at all; a lookup compares the words themselves, so that a hit is verified and exact. A
-larger set isn't broadcast: windows of both sides then meet in a join on their hash, and are compared after it.
+larger set isn't broadcast: windows of both sides then meet in a join, before which a Bloom filter of at most `max_filter` bytes
+keeps nearly all windows of texts that are in no item where they are.
 
 Results: for each row the number of words, of hit words (those inside an occurrence of any window), and the ids of items with
 an occurring window. Actions: `spans` cuts hit words out of the text, `documents` drops rows with `least_items` items or
@@ -21,11 +22,13 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from lakeferry.llm.base import cut, fresh, keyed, narrow_batches, strings, tidy
+from lakeferry.llm.base import cut, fresh, keyed, narrow_batches, refuse_taken, strings, tidy
 
 #: Separators become spaces, A-Z small letters; bytes of characters beyond ASCII stay.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -82,6 +85,22 @@ def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Filter:
+    """A Bloom filter in 64-bit words: four bits for each window, taken from one hash. It may take a window for a member that is none."""
+
+    def __init__(self, bits: int):
+        self.bits, self.words = bits, np.zeros(bits // 64, np.uint64)
+
+    def places(self, windows: list[bytes]) -> np.ndarray:
+        h = np.fromiter(map(xxh64_intdigest, windows), np.uint64, len(windows))
+        with np.errstate(over="ignore"):
+            return (h + np.arange(4, dtype=np.uint64)[:, None] * (h >> np.uint64(32) | np.uint64(1))) & np.uint64(self.bits - 1)
+
+    def has(self, windows: list[bytes]) -> np.ndarray:
+        p = self.places(windows)
+        return (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).all(axis=0)
+
+
 FOUND = "struct<n_words: long, n_hit: long, hits: array<struct<first: int, after: int>>, items: array<string>>"
 _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
@@ -91,9 +110,10 @@ _SCANNERS: dict[str, Scanner] = {}
 
 
 class Decontaminator:
-    """benchmark: the items, by id and text. n: words of a window. max_broadcast: bytes of windows up to which they are broadcast."""
+    """benchmark: the items, by id and text. n: words of a window. max_broadcast: bytes of windows up to which they are broadcast;
+    max_filter: bytes of the filter beyond that."""
 
-    def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 8, max_broadcast: int = 64_000_000):
+    def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 8, max_broadcast: int = 64_000_000, max_filter: int = 32_000_000):
         spark = benchmark.sparkSession
         narrow_batches(spark)
 
@@ -108,6 +128,21 @@ class Decontaminator:
         self.n, self.sent, self.name = n, None, uuid.uuid4().hex
         if size <= max_broadcast:
             self.sent = spark.sparkContext.broadcast([(bytes(r.gram), r["items"]) for r in self.windows.collect()])
+        else:
+            self.filter = spark.sparkContext.broadcast(self._filter(max_filter))
+
+    def _filter(self, most: int) -> Filter:
+        """Ten bits and more a window, if there is room. Executors set them; what is collected are the filter's words."""
+        out = Filter(1 << min((10 * self.windows.count()).bit_length(), (8 * most).bit_length() - 1))
+
+        def bits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows:
+                p = np.unique(out.places(b.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+        found = self.windows.select("gram").mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        out.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return out
 
     def _scan(self, text: Column, cut: bool) -> Column:
         """struct<n_words, n_hit, hits, items, text>: text is the given one, or, to cut, without windows of n words."""
@@ -134,6 +169,7 @@ class Decontaminator:
 
     def annotate(self, df: DataFrame, text_col: str = "text", found_col: str = "found") -> DataFrame:
         """df with a column struct<n_words, n_hit, hits, items>: hits are stretches of words, of one length each, items are sorted ids."""
+        refuse_taken(df, found_col)
         text = F.col(f"`{text_col}`").cast("string")
         if self.sent is None:
             return self._joined(df, text, found_col)
@@ -147,12 +183,15 @@ class Decontaminator:
         # Row numbers must hold when a lost task runs again: they are written, not computed twice.
         rows = cut(df.withColumn(row, F.monotonically_increasing_id()))
 
+        members = self.filter
+
         def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
                 for k, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                     own = words(t.encode())
                     for at in range(0, len(own), 10_000):
                         found = [(i, m, b" ".join(own[i : i + m])) for i in range(at, min(at + 10_000, len(own))) for m in lengths if i + m <= len(own)]
+                        found = [f for f, has in zip(found, members.value.has([f[2] for f in found]), strict=True) if has]
                         yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), *(pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.binary())))], ["row", "first", "n", "gram"])
 
         hit = rows.select(row, text.alias("text")).mapInArrow(spread, "row long, first int, n int, gram binary")

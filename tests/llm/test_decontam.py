@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeferry.llm.decontam import Decontaminator, report
 
@@ -57,6 +58,19 @@ def test_equals_brute_force_by_both_ways(spark):
                 assert r.n_words == 40_000 + len(split(items[4][1])) + len(split(items[5][1])) and r.contaminated
 
 
+def test_the_filter_lets_members_pass_and_hardly_any_others(spark):
+    b = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(400)], "item_id long, text string")
+    f = Decontaminator(b, max_broadcast=10).filter.value
+    assert f.has([" ".join(f"w{k}x{i}" for i in range(a, a + 8)).encode() for k in range(400) for a in range(5)]).all()
+    assert f.has([b"other%d" % k for k in range(20_000)]).mean() < 0.03
+
+
+def test_a_column_is_not_replaced(spark):
+    d = spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, found int")
+    with pytest.raises(ValueError, match="'found'"):
+        Decontaminator(d.select(F.col("doc_id").alias("item_id"), "text")).annotate(d)
+
+
 @pytest.mark.parametrize("limit", [64_000_000, 10])
 def test_actions(spark, limit):
     text = "alpha beta gamma delta epsilon zeta eta theta iota"

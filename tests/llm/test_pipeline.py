@@ -69,3 +69,23 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Repeated rows, null and repeated ids, a very long text, and columns with the names that stages use."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en'").limit(12)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, number int, found string, row int, fp string"
+    base = [tuple(r) for r in docs.collect()]
+    long_text = " ".join(base[0][1].split()[:50]) + " " + "the house and the garden of a friend " * 20_000
+    rows = [(*r, 1, "f", 2, "x") for r in [*base, *base[:3], (None, base[4][1] + " and so on and on", "en", None, None), (None, base[5][1], "en", "s", 1), (base[6][0], base[7][1] * 2, "en", "s", 1), (77, long_text, "en", "s", 1), (78, long_text, "en", "s", 1)]]
+    df = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, DATA).cache()
+        assert out.columns == df.columns
+        if name == "language_id":
+            assert out.count() == len(rows)
+        if name == "near_duplicates":
+            want = components_of(list(enumerate(r.text for r in df.collect())))
+            assert out.count() == len(want) and out.where("doc_id = 77").count() == 1 and out.where("doc_id = 78").count() == 0
+        df = out
+    assert corpus_pipeline.STAGES[4][1](spark, df, DATA).count() == df.count()

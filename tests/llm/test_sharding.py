@@ -1,7 +1,11 @@
+import random
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lakeferry.llm.sharding import karmarkar_karp, shard_rows
 
@@ -13,6 +17,35 @@ def test_differencing_by_hand():
     assert sorted(sums) == [14, 16]
 
 
+def plain(sizes, shards):
+    """Differencing with partial partitions written out: lists of (sum, items), the two of the largest spread combined until one is left."""
+    own = [(n, k, [(0, []) for _ in range(shards - 1)] + [(n, [k])]) for k, n in enumerate(sizes)]
+    new = len(sizes)
+    while len(own) > 1:
+        own.sort(key=lambda x: (-x[0], x[1]))
+        (_, _, a), (_, _, b), *rest = own
+        both = sorted([(x + y, i + j) for (x, i), (y, j) in zip(a, reversed(b))], key=lambda x: x[0])
+        own = [*rest, (both[-1][0] - both[0][0], new, both)]
+        new += 1
+    return own[0][2] if own else []
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=40), st.integers(2, 6))
+def test_differencing_equals_brute_force(sizes, shards):
+    shard = karmarkar_karp(sizes, shards)
+    sums = sorted(sum(n for n, s in zip(sizes, shard) if s == k) for k in range(shards))
+    assert len(shard) == len(sizes) and sums == (sorted(n for n, _ in plain(sizes, shards)) if sizes else [0] * shards)
+
+
+def test_near_the_best_partition():
+    r = random.Random(1)
+    for _ in range(30):
+        sizes = [r.randrange(1, 40) for _ in range(8)]
+        most = lambda own: max(sum(n for n, s in zip(sizes, own) if s == k) for k in range(3))  # noqa: B023, E731
+        assert most(karmarkar_karp(sizes, 3)) <= 4 / 3 * min(map(most, product(range(3), repeat=8)))
+
+
 def test_differencing_is_tight():
     sizes = [(k * 7919) % 1000 + 1 for k in range(3000)]
     shard = karmarkar_karp(sizes, 16)
