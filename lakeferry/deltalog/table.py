@@ -137,13 +137,13 @@ class Table:
     def _live(self, rows: DataFrame, own: Snapshot, paths: Sequence[str]) -> DataFrame:
         """Rows (with __file and __row) that no vector marks: an anti join on file number and row number, packed into one whole number.
 
-        Vectors are spread over the executors, one row for each file. How many rows they mark is known beforehand: up to MARKED_BROADCAST
+        Vectors are read by the executors, one row for each file. How many rows they mark is known beforehand: up to MARKED_BROADCAST
         they are broadcast, so that the table's rows stay where they are; beyond it both sides shuffle.
         """
         paths = sorted(paths)
         marks = [vectors.Descriptor.of(own.files[p]["deletionVector"]) for p in paths]
         names = self.spark.createDataFrame([(self._url(p), k) for k, p in enumerate(paths)], "__name string, __id long")
-        dvs = self.spark.createDataFrame([(k, vectors.encode(vectors.load(self.store, m))) for k, m in enumerate(marks)], "id long, data binary")
+        dvs = self._vectors(marks)
 
         def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
@@ -159,6 +159,25 @@ class Table:
         placed = rows.join(names, _file_key(F.col("__file")) == _file_key(F.col("__name")), "left")  # files without a vector keep all rows
         return placed.join(gone, F.shiftleft(F.col("__id"), ROW_BITS) + F.col("__row") == F.col("__gone"), "left_anti").drop("__name", "__id")
 
+    def _vectors(self, marks: Sequence[vectors.Descriptor]) -> DataFrame:
+        """id (the place in marks) and data of each vector: short ones come from the log, the files of others are read by tasks."""
+        inline = self.spark.createDataFrame([(k, vectors.inline(m)) for k, m in enumerate(marks) if m.file is None], "id long, data binary")
+        beside = [(self._spelled(self.store.url_of(m.file)), k, m.offset or 0, m.size, m.file) for k, m in enumerate(marks) if m.file is not None]
+        if not beside:
+            return inline
+        asked = self.spark.createDataFrame(beside, "__url string, id long, at int, size int, file string")
+        files = self.spark.read.format("binaryFile").load(sorted({self.store.full(m.file) for m in marks if m.file is not None})).select("path", "content")
+
+        def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows:
+                ids, data = b.column(0), [vectors.checked(*x) for x in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(data, pa.binary())], ["id", "data"])
+
+        # As many rows as there are files with vectors.
+        asked = F.broadcast(asked) if len(beside) <= FILES_BROADCAST else asked
+        found = files.join(asked, _file_key(F.col("path")) == _file_key(F.col("__url"))).select("id", "content", "at", "size", "file")
+        return inline.union(found.mapInArrow(cut, "id long, data binary"))
+
     # writing
 
     def stage(self, df: DataFrame, *, max_rows: int | None = None, max_bytes: int | None = None, bloom: Sequence[str] = (), partitions: Sequence[str] = ()) -> list[dict]:

@@ -157,11 +157,12 @@ def from_warehouse(field: T.StructField) -> ColumnSpec | None:
     return _spec(field.name, simple) if simple else None
 
 
-def from_footer(path: str) -> list[ColumnSpec | None]:
-    """What a Parquet file's footer says of its columns, read on the driver; None where it has no opinion. Tells uuid and json, which Spark's schema doesn't."""
+def from_footer(file: Any) -> list[ColumnSpec | None]:
+    """What the footer of a Parquet file (a path, or a file object that ends with it) says of its columns, read on the driver; None where it
+    has no opinion. Tells uuid and json, which Spark's schema doesn't."""
     import pyarrow.parquet as pq
 
-    schema = pq.ParquetFile(path).schema
+    schema = pq.ParquetFile(file).schema
     out = []
     for k in range(len(schema.names)):
         c = schema.column(k)

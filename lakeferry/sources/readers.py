@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeferry.functions.paths import join_url, local_path, resolve_url
 from lakeferry.functions.types import ColumnSpec, from_footer, from_warehouse
 from lakeferry.sources.scratch import shared_root
+from lakeferry.sources.store import Store
 
 
 class SourceError(RuntimeError):
@@ -40,11 +41,16 @@ def _opened(df: DataFrame, columns: list[ColumnSpec | None] | None = None) -> Op
 
 
 def parquet(spark: SparkSession, url: str) -> Opened:
-    """Parquet files; a local file's footer tells uuid and json columns apart. Nanoseconds are read as whole numbers where the session allows it."""
+    """Parquet files; a single file's footer tells uuid and json columns apart. Nanoseconds are read as whole numbers where the session allows it."""
     full = resolve_url(url)
     path = local_path(full)
     df = spark.read.parquet(full)
-    footer = from_footer(path) if path and os.path.isfile(path) else []
+    if path:
+        footer = from_footer(path) if os.path.isfile(path) else []
+    else:
+        folder, _, name = full.rpartition("/")
+        last = Store(spark, folder).footer(name) if not set("*?[{") & set(name) else None
+        footer = from_footer(pa.BufferReader(last)) if last else []
     flat = {f.name for f in df.schema.fields}
     return _opened(df, [c for c in footer if c and c.name in flat] or None)
 

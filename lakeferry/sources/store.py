@@ -45,6 +45,21 @@ class Store:
         finally:
             stream.close()
 
+    def footer(self, rel: str) -> bytes | None:
+        """The last bytes of a Parquet file from its footer on, by ranged reads; None if there is no such file."""
+        path = self._path(rel)
+        if not self._fs.exists(path) or not (status := self._fs.getFileStatus(path)).isFile() or status.getLen() < 12:
+            return None
+        stream, last = self._fs.open(path), b""
+        try:
+            for n in (8, None):
+                n = n or min(status.getLen(), 8 + int.from_bytes(last[:4], "little"))
+                stream.seek(status.getLen() - n)
+                last = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        return last if last.endswith(b"PAR1") else None
+
     def exists(self, rel: str = "") -> bool:
         return self._fs.exists(self._path(rel))
 

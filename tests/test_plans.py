@@ -366,3 +366,13 @@ def test_finalize_hooks_of_the_command_line(spark, tmp_path):
     (tmp_path / "load.yaml").write_text(text.replace("run: note", "run: nowhere"))
     with pytest.raises(C.ConfigError, match="unknown finalize hook"):
         cli.main(["ld", "--config", str(tmp_path / "load.yaml")], spark=spark, environment=own)
+
+
+def test_footers_of_files_in_other_stores(spark, tmp_path, monkeypatch):
+    table = pa.table({"doc": pa.array(["{}"], pa.json_()), "n": pa.array([1], pa.int32()), "w": pa.array([0], pa.timestamp("ms", "UTC"))})
+    pq.write_table(table, tmp_path / "a.parquet")
+    near = [c.ddl() for c in readers.parquet(spark, str(tmp_path / "a.parquet")).columns]
+    monkeypatch.setattr(readers, "local_path", lambda url: None)
+    far = readers.parquet(spark, str(tmp_path / "a.parquet"))
+    assert [c.ddl() for c in far.columns] == near and [c.kind for c in far.columns] == ["jsonb", "integer", "timestamptz"]
+    assert readers.parquet(spark, str(tmp_path / "*.parquet")).df.count() == 1 and readers.parquet(spark, str(tmp_path)).df.count() == 1
