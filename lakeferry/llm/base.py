@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,23 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int(share * (1 << 40))).distinct().limit(2 * rows)
 
 
+#: In a Python worker, what operators have built there (models, hash sets), by name, with the task that used it last.
+_HELD: dict[str, list] = {}
+
+
+def once(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` gives, made once for each worker. What earlier tasks have left behind goes when something new comes: workers outlive
+    tasks and stages, and an operator's model must not stay beside the next one's."""
+    task = TaskContext.get()
+    now = task.taskAttemptId() if task else None
+    if name not in _HELD:
+        for old in [k for k, (_, last) in _HELD.items() if last != now]:
+            del _HELD[old]
+        _HELD[name] = [make(), now]
+    _HELD[name][1] = now
+    return _HELD[name][0]
+
+
 def tidy() -> None:
     """Give memory that a Python worker no longer needs back to the system: workers outlive tasks, and several share an executor's memory."""
     pa.default_memory_pool().release_unused()

@@ -4,7 +4,8 @@ Each step joins the edges with the least neighbour of each node, so a node with
 partial sums and a join; no node's neighbours are ever gathered. The least neighbours are written to shared storage before
 they are joined: both sides of the join are then plain scans, so that Spark can broadcast the smaller one where its files
 are small, and can split a hot node's partition where they are not. Each round's edges are written too, which ends
-their lineage; tables of rounds that are over are deleted.
+their lineage; tables of rounds that are over are deleted. Tables are written by as many tasks as the counted edges of the
+round before call for.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from lakeferry.llm.base import cut, remove
 
 
+#: Edges that a task writes, and tasks at least.
+EDGES, TASKS = 100_000, 8
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node, root for each node of the edges (columns a and b, of one sortable type); root is the least node it can reach.
 
@@ -26,12 +31,13 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         if mark[0] == 0:
             break
+        few = lambda df, n=mark[0]: df.coalesce(max(TASKS, 2 * n // EDGES))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        lower = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut(few(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))))
+        large = cut(few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()))
+        lower = cut(few(large.groupBy("u").agg(F.min("v").alias("m"))))
         moved = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, (small, mark) = mark, _written(moved.union(lower).distinct())
+        last, (small, mark) = mark, _written(few(moved.union(lower).distinct()))
         for over in (now, least, large, lower):
             remove(spark, over)
         now = small

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lakeferry.llm.base import cut, fresh, keyed, narrow_batches, refuse_taken, strings, tidy
+from lakeferry.llm.base import cut, fresh, keyed, narrow_batches, once, refuse_taken, strings, tidy
 
 #: Separators become spaces, A-Z small letters; bytes of characters beyond ASCII stay.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -105,10 +105,6 @@ FOUND = "struct<n_words: long, n_hit: long, hits: array<struct<first: int, after
 _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
-#: In a Python worker, the scanner that it used last, by the name of its set.
-_SCANNERS: dict[str, Scanner] = {}
-
-
 class Decontaminator:
     """benchmark: the items, by id and text. n: words of a window. max_broadcast: bytes of windows up to which they are broadcast;
     max_filter: bytes of the filter beyond that."""
@@ -151,10 +147,7 @@ class Decontaminator:
 
         @F.arrow_udf(FOUND[:-1] + ", text: string>")
         def scan(texts: pa.Array) -> pa.Array:
-            if name not in _SCANNERS:
-                _SCANNERS.clear()
-                _SCANNERS[name] = Scanner(sent.value)
-            scanner, out = _SCANNERS[name], []
+            scanner, out = once(name, lambda: Scanner(sent.value)), []
             for t in texts.to_pylist():
                 own = words((t or "").encode())
                 hits, items = scanner.scan(own)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import bounded_sample, cut, narrow_batches, tidy
+from lakeferry.llm.base import bounded_sample, cut, narrow_batches, once, tidy
 
 ORDER = 4
 #: Characters that are worked on at once.
@@ -359,10 +359,6 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-#: In a Python worker, the model that it used last.
-_MODELS: dict[str, Model] = {}
-
-
 class LanguageID:
     """Fits on the rows of df with a language; then predicts for any texts.
 
@@ -395,10 +391,7 @@ class LanguageID:
 
         @F.arrow_udf("struct<lang: string, score: double, rejected: boolean>")
         def predict(texts: pa.Array) -> pa.Array:
-            if name not in _MODELS:
-                _MODELS.clear()
-                _MODELS[name] = sent.value
-            out = _MODELS[name].predict(texts.to_pylist())
+            out = once(name, lambda: sent.value).predict(texts.to_pylist())
             tidy()
             return pa.StructArray.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], ["lang", "score", "rejected"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import bounded_sample, cut, narrow_batches, remove, tidy
+from lakeferry.llm.base import bounded_sample, cut, narrow_batches, once, remove, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Places of hashed features, beside the dense ones.
@@ -180,10 +180,6 @@ def pseudo(odds: np.ndarray, limits: list[tuple[float, float]], k: int) -> np.nd
     return np.where((own >= limits[0]) & (other > -1), 1, np.where((own <= -limits[1]) & (other < 1), 0, -1))
 
 
-#: In a Python worker, the model that it used last.
-_MODELS: dict[str, CoTrained] = {}
-
-
 def _packed(texts: list, sources: list, langs: list, declared: list) -> tuple[list[bytes], list[bytes]]:
     """Features of either view, in half precision."""
     return [text_view(t or "").astype(np.float16).tobytes() for t in texts], [meta_view(s, g, n).astype(np.float16).tobytes() for s, g, n in zip(sources, langs, declared, strict=True)]
@@ -211,10 +207,7 @@ class Quality:
 
         @F.arrow_udf("struct<text_score: double, meta_score: double, score: double>")
         def score(a: pa.Array, b: pa.Array) -> pa.Array:
-            if name not in _MODELS:
-                _MODELS.clear()
-                _MODELS[name] = sent.value
-            out = _MODELS[name](_unpacked(a.to_pylist(), TEXT_WIDTH), _unpacked(b.to_pylist(), META_WIDTH))
+            out = once(name, lambda: sent.value)(_unpacked(a.to_pylist(), TEXT_WIDTH), _unpacked(b.to_pylist(), META_WIDTH))
             return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in out], ["text_score", "meta_score", "score"])
 
         self._score = score.asNondeterministic()

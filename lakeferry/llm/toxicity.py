@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import bounded_sample, cut, narrow_batches, remove
+from lakeferry.llm.base import bounded_sample, cut, narrow_batches, once, remove
 
 # Insults in four languages, and second-person words.
 INSULTS = frozenset("""
@@ -266,10 +266,6 @@ def fit(texts: list[str], labels: np.ndarray, folds: int = 3) -> Scorer:
     return trained(x[by], labels[by], fold[by], own[-1].learnt)
 
 
-#: In a Python worker, the model that it used last.
-_SCORERS: dict[str, Scorer] = {}
-
-
 class Toxicity:
     """labelled: rows with a text and a label 0 or 1. max_rows: None if they are bounded already."""
 
@@ -309,10 +305,7 @@ class Toxicity:
 
         @F.arrow_udf("double")
         def score(texts: pa.Array) -> pa.Array:
-            if name not in _SCORERS:
-                _SCORERS.clear()
-                _SCORERS[name] = sent.value
-            return pa.array(_SCORERS[name]([t or "" for t in texts.to_pylist()]))
+            return pa.array(once(name, lambda: sent.value)([t or "" for t in texts.to_pylist()]))
 
         self._score = score.asNondeterministic()
 
