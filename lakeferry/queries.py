@@ -157,7 +157,7 @@ both("src_sql_distinct_having", "SELECT l_suppkey, count(DISTINCT l_partkey) AS
 both("src_sql_running", "SELECT event_id, sum(CAST(value AS decimal(18,4))) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 200 AS high, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id) AS quarter FROM events", "events")
 
 
-both("src_sql_math", "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, floor(p_retailprice / 7) AS sevenths, abs(p_size - 25) AS off, power(2, p_size % 8) AS two, sign(p_size - 25) AS s FROM part", "part")
+both("src_sql_math", "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, CAST(floor(p_retailprice / 7) AS BIGINT) AS sevenths, abs(p_size - 25) AS off, power(2, p_size % 8) AS two, CAST(sign(p_size - 25) AS INTEGER) AS s FROM part", "part")
 # Each event with the last order that its user placed before: rows of both tables meet in one pass over each user's in time order,
 # instead of a join of ranges.
 ASOF = "SELECT event_id, coalesce(seen, -1) AS seen FROM (SELECT event_id, {} OVER (PARTITION BY k ORDER BY moment, side, o, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM (SELECT user_id AS k, ts AS moment, 1 AS side, CAST(NULL AS BIGINT) AS o, event_id FROM events UNION ALL SELECT o_custkey, o_orderdate, 0, o_orderkey, CAST(NULL AS BIGINT) FROM orders) x) y WHERE event_id IS NOT NULL"
