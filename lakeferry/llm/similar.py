@@ -15,11 +15,14 @@ shingles of the text are from a tie there. Bits that differ between similar text
 4. Fingerprints that share a key meet and are compared on all 128 bits. A key with very many fingerprints is dealt out as
    blocks of them, each pair of blocks being a cell of its own. Pairs within `sure` bits are linked; they leave a cell as a spanning
    forest. Pairs within `far` bits are open, and leave it unless such links join them: all of them, or where they are more than
-   FORESTS times the cell's rows, that many spanning forests of least distances, one after the other. So a large
-   group never leaves as all its pairs, and what joins it to others is asked in many ways.
+   FORESTS times the cell's rows, that many spanning forests of least distances, one after the other, marked as from a
+   crowded cell. So a large group never leaves as all its pairs.
 5. Of open pairs that no links join, from whatever cells these come, the Jaccard similarity is computed from their shingles' hashes,
    and decides.
-6. Components of the links; of each one row stays.
+6. The pairs that crowded cells left out: what is marked still connects the ends of each. Where it connects texts that no links join,
+   all texts that it connects are compared with each other by their shingles' hashes, whatever their bits, but for those that links
+   join already. They meet in cells of bounded size, as blocks if they are many, and leave these as spanning forests of links.
+7. Components of the links; of each one row stays.
 
 Null and empty texts have no shingle and count as equal to each other; a text of fewer words is one shingle. Rows that repeat are
 copies. Which of a component's rows stays: that with the least id, a null id being the last, and of several the first row. An
@@ -62,6 +65,8 @@ BLOCK = 4096
 ROWS, PAIRS = 50_000, 1 << 18
 #: Spanning forests of open pairs that leave a cell at most.
 FORESTS = 2
+#: Hashes of shingles in a block of texts that are all compared.
+HASHES = 1 << 19
 
 #: Sets of up to three flipped bits of LOW.
 FLIPS = np.array([[k in own for k in range(LOW)] for n in range(4) for own in combinations(range(LOW), n)], bool)
@@ -218,9 +223,10 @@ def forest(n: int, u: np.ndarray, v: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else left
 
 
-def sparse(group: np.ndarray, u: np.ndarray, v: np.ndarray, h: np.ndarray, sure: int) -> np.ndarray:
+def sparse(group: np.ndarray, u: np.ndarray, v: np.ndarray, h: np.ndarray, sure: int, crowded_cells: np.ndarray | None = None) -> np.ndarray:
     """Places of the pairs that stand for all of these pairs: a forest of those within `sure`, and of the others those that it doesn't
-    join: all of them, or in a cell where they are more than FORESTS times its rows, so many forests. group: the cell of each row, by number."""
+    join: all of them, or in a cell where they are more than FORESTS times its rows, so many forests, which connect what all of them
+    do; such cells are marked in crowded_cells. group: the cell of each row, by number."""
     n = len(group)
     close = np.flatnonzero(h <= sure)
     close = close[forest(n, u[close], v[close], h[close])]
@@ -229,6 +235,8 @@ def sparse(group: np.ndarray, u: np.ndarray, v: np.ndarray, h: np.ndarray, sure:
     left = np.flatnonzero((h > sure) & (joined.root[u] != joined.root[v]))
     size = np.bincount(group)
     many = np.bincount(group[u[left]], minlength=len(size)) > FORESTS * size
+    if crowded_cells is not None:
+        crowded_cells |= many
     crowded = many[group[u[left]]]
     kept, left = [close, left[~crowded]], left[crowded]
     for _ in range(FORESTS):
@@ -238,13 +246,14 @@ def sparse(group: np.ndarray, u: np.ndarray, v: np.ndarray, h: np.ndarray, sure:
     return np.concatenate(kept)
 
 
-def near(cell: np.ndarray, x: np.ndarray, node: np.ndarray, sure: int, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near(cell: np.ndarray, x: np.ndarray, node: np.ndarray, sure: int, far: int, crowded: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of whole cells, rows (x: unsigned) being sorted by cell: u, v and distance of sparse() pairs within `far` bits.
-    At most PAIRS pairs, and those of one row, are looked at at once."""
+    At most PAIRS pairs, and those of one row, are looked at at once. Rows of cells that left pairs out are marked in crowded."""
     ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
     later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(cell)) - 1
     upto = np.cumsum(later)
     group = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    many_open = np.zeros(len(ends), bool)
     u, v, h, a = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     while a < len(cell):
         b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
@@ -256,15 +265,18 @@ def near(cell: np.ndarray, x: np.ndarray, node: np.ndarray, sure: int, far: int)
         if len(own):
             u, v, h = np.concatenate([u, left[own]]), np.concatenate([v, right[own]]), np.concatenate([h, d[own]])
             if len(u) > 16 * len(cell):
-                kept = sparse(group, u, v, h, sure)
+                kept = sparse(group, u, v, h, sure, many_open)
                 u, v, h = u[kept], v[kept], h[kept]
         a = b
-    kept = sparse(group, u, v, h, sure)
+    kept = sparse(group, u, v, h, sure, many_open)
+    if crowded is not None:
+        crowded[:] = many_open[group]
     return u[kept], v[kept], h[kept]
 
 
 def candidates(distinct: DataFrame, similarity: float, recall: float, sure: int, far: int, block: int = BLOCK, partitions: int | None = None) -> DataFrame:
-    """a, b, h: numbers of fingerprints that met and differ in h <= far bits, made sparse in each cell.
+    """a, b, h, crowded: numbers of fingerprints that met and differ in h <= far bits, made sparse in each cell; whether one of these
+    cells left pairs out.
 
     distinct: node (long), fp and margins (binary), each fingerprint once."""
     spark = distinct.sparkSession
@@ -324,9 +336,10 @@ def candidates(distinct: DataFrame, similarity: float, recall: float, sure: int,
             cuts = np.flatnonzero(cell[1:] != cell[:-1])
             end = len(cell) if last else int(cuts[-1]) + 1 if len(cuts) else 0
             held, size = [[c[end:] for c in (cell, node, *x)]], len(cell) - end
-            u, v, h = near(cell[:end], np.stack(x, axis=1).view(np.uint64)[:end], node[:end], sure, far) if end else (np.zeros(0, np.int64),) * 3
+            crowded = np.zeros(end, bool)
+            u, v, h = near(cell[:end], np.stack(x, axis=1).view(np.uint64)[:end], node[:end], sure, far, crowded) if end else (np.zeros(0, np.int64),) * 3
             a, b = node[u], node[v]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(h.astype(np.int32))], ["a", "b", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(h.astype(np.int32)), pa.array(crowded[u])], ["a", "b", "h", "crowded"])
 
         for b in rows:
             held.append([c.to_numpy() for c in b.columns])
@@ -339,7 +352,8 @@ def candidates(distinct: DataFrame, similarity: float, recall: float, sure: int,
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     filed = distinct.select("node", "fp", "margins").mapInArrow(file, f"cell long, node long, {', '.join(w + ' long' for w in words)}")
-    return filed.repartition(shuffles, "cell").sortWithinPartitions("cell", "node").mapInArrow(join, "a long, b long, h int").distinct()
+    met = filed.repartition(shuffles, "cell").sortWithinPartitions("cell", "node").mapInArrow(join, "a long, b long, h int, crowded boolean")
+    return met.groupBy("a", "b", "h").agg(F.max("crowded").alias("crowded"))
 
 
 def bounds(similarity: float) -> tuple[int, int]:
@@ -376,7 +390,11 @@ def near_deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = found.where(F.col("h") > sure).join(side("a"), "a", "left").join(side("b"), "b", "left")
     open_ = cut(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
     if not open_.isEmpty():
-        root = cut(components(links.union(_checked(open_, whole, number, text, size, seed, similarity, max_broadcast))))
+        links = links.union(_checked(open_, whole, number, text, size, seed, similarity, max_broadcast))
+        root = cut(components(links))
+    more = _left_out(found, root, whole, number, text, size, seed, similarity, max_broadcast)
+    if more is not None:
+        root = cut(components(links.union(more)))
     least = distinct.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     # What goes is mostly less than what stays.
     gone = cut(rows.select("number").join(least.select(F.col("least.number").alias("number")), "number", "left_anti").withColumnRenamed("number", number))
@@ -411,18 +429,112 @@ def numbered(df: DataFrame, number: str) -> DataFrame:
     return placed.join(F.broadcast(files), of).withColumn(number, F.col(number) + F.col(at)).select(*(f"`{c}`" for c in df.columns), number)
 
 
-def _checked(pairs: DataFrame, whole: DataFrame, number: str, text: Column, size: int, seed: int, similarity: float, max_broadcast: int) -> DataFrame:
-    """Of these pairs (a, b: numbers of rows) those whose texts have the similarity."""
+def _sets(asked: DataFrame, whole: DataFrame, number: str, text: Column, size: int, seed: int) -> DataFrame:
+    """node, own: the numbers of rows that are asked for (node), and the hashes of their texts' shingles."""
 
     @F.arrow_udf("binary")
     def sketched(texts: pa.Array) -> pa.Array:
         return pa.array([sketch(shingles(t, size, seed)) for t in utf8(texts)], pa.binary())
 
+    return cut(whole.select(F.col(number).alias("node"), text.alias("text")).join(asked, "node", "left_semi").select("node", sketched("text").alias("own")))
+
+
+def _checked(pairs: DataFrame, whole: DataFrame, number: str, text: Column, size: int, seed: int, similarity: float, max_broadcast: int) -> DataFrame:
+    """Of these pairs (a, b: numbers of rows) those whose texts have the similarity."""
+
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([jaccard(a, b) >= similarity for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
 
     asked = _small(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), max_broadcast)
-    sets = cut(whole.select(F.col(number).alias("node"), text.alias("text")).join(asked, "node", "left_semi").select("node", sketched("text").alias("own")))
+    sets = _sets(asked, whole, number, text, size, seed)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"of_{c}"))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("of_a", "of_b")).select("a", "b"))
+
+
+def linked(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of sets of hashes that have the similarity: so many that they and the roots, which texts share that are linked
+    already, join all that do. block: if there are two, only pairs between them are asked for."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    _, first, root = np.unique(root, return_index=True, return_inverse=True)
+    joined = Forest(n)
+    joined.join(np.arange(n), first[root])
+    # Each pair of different roots has an end that is not of the most frequent one.
+    asks = np.flatnonzero(root != np.bincount(root).argmax())
+    if two := block.min() != block.max():
+        asks = min(asks, np.flatnonzero(block == block[0]), key=len)
+    _, of = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    holders = np.repeat(np.arange(n), size)[np.argsort(of, kind="stable")]
+    many = np.bincount(of)
+    start = np.cumsum(many) - many
+    u, v = [], []
+    for i in asks:
+        own = of[ends[i] - size[i] : ends[i]]
+        upto, both, a = np.cumsum(many[own]), np.zeros(n, np.int64), 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+            k = many[own[a:b]]
+            both += np.bincount(holders[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k - start[own[a:b]], k)], minlength=n)
+            a = b
+        near_by = np.flatnonzero((both > 0) & (joined.root != joined.root[i]) & ((block != block[i]) | (not two)))
+        near_by = near_by[both[near_by] / (size[i] + size[near_by] - both[near_by]) >= similarity]
+        if len(near_by):
+            near_by = near_by[np.unique(joined.root[near_by], return_index=True)[1]]
+            u.append(np.full(len(near_by), i))
+            v.append(near_by)
+            joined.join(u[-1], v[-1])
+    return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64),) * 2
+
+
+def _left_out(found: DataFrame, root: DataFrame, whole: DataFrame, number: str, text: Column, size: int, seed: int, similarity: float, max_broadcast: int) -> DataFrame | None:
+    """Links that join, with those of root, all pairs of the similarity that crowded cells left out; None if they can't have left out any
+    that isn't joined."""
+    spark = whole.sparkSession
+    side = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    marked = found.where("crowded").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    marked = cut(marked.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")))
+    apart = marked.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    if apart.isEmpty():
+        remove(spark, marked)
+        return None
+    group = components(apart).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    ends = marked.select(F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.col(f"root_{c}").alias("root")) for c in "ab"))).alias("end")).select("end.*").distinct()
+    ends = cut(ends.join(group, "root"))
+    sets = _sets(_small(ends.select("node"), max_broadcast), whole, number, text, size, seed)
+    blocks = ends.join(sets.select("node", (F.length("own") / 4).alias("n")), "node").groupBy("group").agg((1 + F.floor(F.sum("n") / HASHES)).cast("int").alias("blocks"))
+    mine, other = F.col("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    # Cell (i, j), i <= j, of a group holds its blocks i and j.
+    dealt = ends.join(cut(blocks), "group").select("group", "node", "root", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("mine"), other)
+    dealt = dealt.select("group", F.least(mine, "other").alias("i"), F.greatest(mine, "other").alias("j"), "node", "root", "mine")
+
+    def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links() -> pa.RecordBatch:
+            node, of, block = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("node", "root", "mine"))
+            own = [np.frombuffer(s, np.uint32) for b in held for s in b.column("own").to_pylist()]
+            u, v = linked(own, of, block, similarity)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["a", "b"])
+
+        last = None
+        for b in rows:
+            cell = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("group", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e > a:
+                    if held and tuple(cell[a]) != last:
+                        yield links()
+                    last = tuple(cell[a])
+                    held.append(b.slice(a, e - a))
+        if held:
+            yield links()
+        tidy()
+
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.join(sets, "node").repartition(shuffles, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    out = cut(dealt.mapInArrow(compare, "a long, b long").distinct())
+    for over in (marked, ends, sets):
+        remove(spark, over)
+    return out

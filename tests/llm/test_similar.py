@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from test_simhash import union
 
-from lakeferry.llm.similar import BITS, CHOICES, Plan, allotted, bits_between, bounds, chances, fingerprint, forest, jaccard, keys, near, near_deduplicated, number_of_partitions, shingles, sketch, sparse
+from lakeferry.llm import similar
+from lakeferry.llm.similar import BITS, CHOICES, Plan, allotted, bits_between, bounds, chances, fingerprint, forest, jaccard, keys, linked, near, near_deduplicated, number_of_partitions, shingles, sketch, sparse
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -161,3 +162,34 @@ def test_pairs_of_cells():
     cell, node = np.repeat([1, 2], 40), np.concatenate([r.permutation(40)] * 2)
     u, v, h = near(cell, x[node], node, 0, 5)
     assert sorted((min(a, b), max(a, b)) for a, b in zip(node[u], node[v])) == sorted([(k, k + 20) for k in range(20)] * 2) and set(h) == {4}
+
+
+def test_linked_equals_all_pairs():
+    r = np.random.default_rng(7)
+    for trial in range(40):
+        base = r.integers(0, 1 << 32, 60).astype(np.uint32)
+        sets = [np.unique(np.concatenate([r.choice(base, r.integers(45, 60), replace=False), r.integers(0, 1 << 32, r.integers(0, 8)).astype(np.uint32)])) for _ in range(30)]
+        root, block = r.integers(0, 30, 30) if trial % 2 else np.minimum(3, r.integers(0, 30, 30)), np.zeros(30, np.int64) if trial % 4 < 2 else r.integers(0, 2, 30)
+        two = block.min() != block.max()
+        old = [(k, int(np.flatnonzero(root == root[k])[0])) for k in range(30)]
+        u, v = linked(sets, root, block, 0.8)
+        asked = lambda a, b: not two or block[a] != block[b]  # noqa: B023, E731
+        want = [(a, b) for a, b in combinations(range(30), 2) if asked(a, b) and jaccard(sets[a].tobytes(), sets[b].tobytes()) >= 0.8]
+        assert all(asked(a, b) and jaccard(sets[a].tobytes(), sets[b].tobytes()) >= 0.8 for a, b in zip(u, v))
+        assert union(range(30), [*old, *zip(u, v)]) == union(range(30), [*old, *want]) and len(u) < 30
+
+
+@pytest.mark.parametrize("hashes", [1 << 19, 4000])
+def test_links_in_a_crowded_cell(spark, monkeypatch, hashes):
+    """Variants of one text, most of them just below the threshold: the links among them are not those of the least distances."""
+    monkeypatch.setattr(similar, "HASHES", hashes)
+    r = random.Random(13)
+    base = [f"b{k}" for k in range(400)]
+    rows = [(k, " ".join(edited(r, base, r.choice([5, 6, 8, 9])))) for k in range(150)]
+    sets = [plain(t) for _, t in rows]
+    prints = packed([fingerprint(shingles(t.encode(), 5, 42)) for _, t in rows])[0]
+    sure = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum() <= bounds(0.8)[0]
+    root = union(range(150), [(a, b) for a, b in combinations(range(150), 2) if alike(sets[a], sets[b]) >= 0.8 or sure(a, b)])
+    got = near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    kept = sorted(x.doc_id for x in got.collect())
+    assert kept == sorted(min(k for k in range(150) if root[k] == own) for own in set(root.values()))
