@@ -9,16 +9,19 @@ what is collected and broadcast grows with the different n-grams of the training
 
 A text's language is the one with the lowest cross-entropy a character. Confidence is the logistic of the margin to the next
 one, times the square root of the length; rejection compares the cross-entropy with what texts of that language
-and length have. Both are calibrated on a bounded sample of training texts (`calibration_rows`).
+and length have. Both are calibrated on all training texts and short pieces of them: executors score these with the models, and what
+calibration needs of each is written; sums and order statistics of it are all that reaches the driver.
 
 Null texts and texts without a letter are `und`, score 0, rejected. Ties go to the language that sorts first. Without training
-rows all texts are `und`. Repeated rows and other columns change nothing; texts are read whole, in pieces of bounded length.
+rows all texts are `und`. Training rows that repeat count each; other columns change nothing; texts are read whole, in pieces of
+bounded length.
 """
 
 from __future__ import annotations
 
+import copy
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.base import bounded_sample, cut, narrow_batches, once, tidy
+from lakeferry.llm.base import cut, narrow_batches, once, remove, tidy
 
 ORDER = 4
 #: Characters that are worked on at once.
@@ -36,6 +39,10 @@ SPACE = 32
 MAX_CELLS = 12_000_000
 #: Log-probabilities that are worked on at once.
 CELLS = 16 * PIECE
+#: Characters of the pieces that calibration takes of each text, beside the whole of it.
+SHORT = (8, 24, 96)
+#: Order statistics are of values in units of 2^-UNIT_BITS, and each pass over these tells so many bits.
+UNIT_BITS, STEP_BITS = 24, 12
 
 
 @lru_cache(1)
@@ -271,40 +278,91 @@ def rows_of(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> Rows:
     return Rows(at[by], language[by], np.concatenate([v for _, v in parts])[by], n)
 
 
-def calibrate(model: Model, texts: list[str], truth: list[str]) -> None:
-    """Confidence from margins on texts and short pieces of them; rejection from the entropies of texts of the right language."""
-    codes, right = [], []
-    for t, lang in zip(texts, truth, strict=True):
-        if len(c := folded(t)):
-            for n in (8, 24, 96, len(c)):
-                codes.append(c[: n + 1])
-                right.append(model.languages.index(lang))
-    if not codes:
-        return
-    entropy, length = model.entropies(codes)
-    want = np.array(right)
-    best = entropy.argmin(axis=1)
-    own = entropy[np.arange(len(want)), want]
-    for k in range(len(model.languages)):
-        if (full := want == k).any():
-            mean = np.average(own[full], weights=length[full])
-            # A bound that the calibration texts of a language keep, with room: texts of it are hardly ever rejected.
-            model.typical[k] = mean + 0.8, 1.5 * max(0.5, np.quantile((own[full] - mean) * np.sqrt(length[full]), 0.999))
-        else:
-            model.typical[k] = np.inf, 1
-    x = margins(entropy, best, entropy.min(axis=1)) * np.sqrt(length)
-    y = (best == want).astype(float)
-    ab = np.array([1.0, 0.0])
+def scored(df: DataFrame, place: dict[str, int], model: Callable[[], Model]) -> DataFrame:
+    """For each text of df (lang, text) in one of the model's languages, and for short pieces of it: place (the language's), own (the
+    cross-entropy in it), length, margin (times the root of the length), hit (whether the best language is that one)."""
+
+    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            codes, right = [], []
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if lang in place and len(c := folded(t)):
+                    for n in (*SHORT, len(c)):
+                        codes.append(c[: n + 1])
+                        right.append(place[lang])
+            if codes:
+                entropy, length = model().entropies(codes)
+                best, want = entropy.argmin(axis=1), np.array(right)
+                margin = margins(entropy, best, entropy.min(axis=1)) * np.sqrt(length)
+                own = entropy[np.arange(len(want)), want]
+                yield pa.RecordBatch.from_arrays([pa.array(want.astype(np.int32)), pa.array(own), pa.array(length.astype(np.int64)), pa.array(margin), pa.array(best == want)], ["place", "own", "length", "margin", "hit"])
+        tidy()
+
+    return df.mapInArrow(score, "place int, own double, length long, margin double, hit boolean")
+
+
+def total(c: Column) -> Column:
+    """A sum that is the same in whatever order rows come."""
+    return F.sum(c.cast("decimal(38,18)"))
+
+
+def calibrate(model: Model, pieces: DataFrame) -> None:
+    """Confidence from the margins of all pieces (see scored(); a written table); rejection from the entropies in their own languages."""
+    spark = pieces.sparkSession
+    per = pieces.groupBy("place").agg(total(F.col("own") * F.col("length")).alias("own"), F.sum("length").alias("length"), F.count("*").alias("n")).collect()
+    mean = {r.place: float(r.own / r.length) for r in per}
+    means = F.broadcast(spark.createDataFrame(sorted(mean.items()), "place int, mean double"))
+    above = (F.col("own") - F.col("mean")) * F.sqrt("length")
+    values = pieces.join(means, "place").select("place", F.floor(above * (1 << UNIT_BITS) + 0.5).cast("long").alias("value"))
+    at = {r.place: 0.999 * (r.n - 1) for r in per}
+    ranks = {k: (int(h), int(np.ceil(h))) for k, h in at.items()}
+    found = order_statistics(values, {(k, r) for k, own in ranks.items() for r in own})
+    model.typical = np.tile([np.inf, 1.0], (len(model.languages), 1))
+    for k, (low, high) in ranks.items():
+        most = (found[k, low] + (at[k] - low) * (found[k, high] - found[k, low])) / (1 << UNIT_BITS)
+        # A bound that the texts of a language keep, with room: texts of it are hardly ever rejected.
+        model.typical[k] = mean[k] + 0.8, 1.5 * max(0.5, most)
+    x, ab = F.col("margin"), np.array([1.0, 0.0])
     for _ in range(50):  # Newton's steps for a logistic regression with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(ab[0] * x + ab[1], -30, 30)))
-        z = np.stack([x, np.ones_like(x)])
-        step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-9)) @ z.T + 1e-2 * np.eye(2), z @ (p - y) + 1e-2 * ab)
+        p = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.lit(float(ab[0])) * x + F.lit(float(ab[1]))))))
+        off, weight = p - F.col("hit").cast("double"), F.greatest(p * (1 - p), F.lit(1e-9))
+        xx, x1, one, gx, g1 = map(float, pieces.select(*map(total, (weight * x * x, weight * x, weight, off * x, off))).first())
+        step = np.linalg.solve(np.array([[xx, x1], [x1, one]]) + 1e-2 * np.eye(2), np.array([gx, g1]) + 1e-2 * ab)
         ab = ab - step
         if np.abs(step).max() < 1e-6:
             break
     model.margin = np.array([max(ab[0], 1e-3), ab[1]])
 
 
+def order_statistics(values: DataFrame, asked: set[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """values: place, value (long). For each place and rank (from 0) that is asked for: the value of that rank among the place's.
+
+    Each pass counts values by further bits, so at most 2^STEP_BITS counts for each that is asked for reach the driver, but for the
+    first pass, which counts by all bits above."""
+    spark = values.sparkSession
+    left, known = {a: a[1] for a in asked}, dict.fromkeys(asked, 0)  # the rank among values with the known first bits, and these
+    for shift in range(36, -1, -STEP_BITS):
+        rows = values
+        if shift < 36:
+            state = spark.createDataFrame(sorted({(k, known[k, r]) for k, r in asked}), "place int, known long")
+            rows = values.join(F.broadcast(state.withColumnRenamed("place", "of")), (F.col("place") == F.col("of")) & (F.shiftright("value", shift + STEP_BITS) == F.col("known")))
+        counts: dict[int, list[tuple[int, int]]] = {}
+        for r in rows.groupBy("place", F.shiftright("value", shift).alias("bits")).agg(F.count("*").alias("n")).collect():
+            counts.setdefault(r.place, []).append((r.bits, r.n))
+        first = dict(known)
+        for own in counts.values():
+            own.sort()
+        for k, r in asked:
+            for bits, n in counts[k]:
+                if shift < 36 and bits >> STEP_BITS != first[k, r]:
+                    continue
+                if left[k, r] < n:
+                    known[k, r] = bits
+                    break
+                left[k, r] -= n
+    return known
+
+
 def count_ngrams(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """lang, gram, n over all rows; each task sums up before it sends."""
 
@@ -364,10 +422,9 @@ class LanguageID:
 
     There may be any number of languages, and the models hold all their n-grams. max_ngrams: of the highest order, for all languages
     together, if the models are to be smaller than that; the rarest are left out then, and with them maybe small languages.
-    calibration_rows: about so many texts, chosen by a hash, calibrate confidence and rejection.
     """
 
-    def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int | None = None, calibration_rows: int = 2000):
+    def __init__(self, df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_ngrams: int | None = None):
         spark = df.sparkSession
         narrow_batches(spark)
         counts = cut(count_ngrams(df, lang_col, text_col))
@@ -382,16 +439,24 @@ class LanguageID:
         ends = np.searchsorted(code[by], np.arange(len(languages) + 1))
         own = [(gram[by[a:b]], n[by[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         model = kneser_ney(languages, own) if languages else Model([])
-        if languages:
-            some = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-            pairs = sorted((r.text, r.lang) for r in bounded_sample(some, calibration_rows, "text", "lang").collect() if r.lang in place)
-            calibrate(model, [t for t, _ in pairs], [k for _, k in pairs])
         self.model, name = model, uuid.uuid4().hex
-        sent = spark.sparkContext.broadcast(model)
+        # One copy goes to the executors; calibration, a few numbers, follows.
+        sent = spark.sparkContext.broadcast(copy.copy(model))
+        if languages:
+            texts = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+            pieces = cut(scored(texts, place, lambda: once(name, lambda: sent.value)))
+            calibrate(model, pieces)
+            remove(spark, pieces)
+        typical, margin = model.typical, model.margin
+
+        def calibrated() -> Model:
+            own = copy.copy(sent.value)
+            own.typical, own.margin = typical, margin
+            return own
 
         @F.arrow_udf("struct<lang: string, score: double, rejected: boolean>")
         def predict(texts: pa.Array) -> pa.Array:
-            out = once(name, lambda: sent.value).predict(texts.to_pylist())
+            out = once(f"{name} calibrated", calibrated).predict(texts.to_pylist())
             tidy()
             return pa.StructArray.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], ["lang", "score", "rejected"])
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from lakeferry.llm.langid import ORDER, LanguageID, folded, grams, grams_between, kneser_ney, report
+from lakeferry.llm.langid import ORDER, LanguageID, folded, grams, grams_between, kneser_ney, order_statistics, report
 
 DATA = "/root/testdata/sf0.01"
 
@@ -124,3 +124,32 @@ def test_small_languages_keep_their_ngrams(spark):
     model = LanguageID(spark.createDataFrame([(large, "xx"), (small, "zz")], "text string, lang string")).model
     assert model.languages == ["xx", "zz"] and model.predict(["opqr stuv wxyz ab cdef zyxw vuts"])[0][0] == "zz"
     assert model.hashes[-1].size == len(np.unique(np.concatenate([grams(folded(t), ORDER) for t in (large, small)])))
+
+
+def test_all_training_texts_calibrate(spark):
+    """Against bounds and a regression by numpy over all texts, of which there are more than a driver was to see; a language of a
+    few texts has bounds too."""
+    r = np.random.default_rng(10)
+    words = {k: ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(40)] for k in ("xx", "yy", "zz")}
+    rows = [(" ".join(r.choice(words[k], r.integers(1, 12))), k) for k, n in (("xx", 3500), ("yy", 1500), ("zz", 3)) for _ in range(n)]
+    model = LanguageID(spark.createDataFrame([*rows, ("12", "xx"), (None, "yy"), ("abc", None)], "text string, lang string").repartition(5)).model
+    codes = [folded(t)[: n + 1] for t, _ in rows for n in (8, 24, 96, 10**6)]
+    want = np.repeat([model.languages.index(k) for _, k in rows], 4)
+    entropy, length = model.entropies(codes)
+    own = entropy[np.arange(len(want)), want]
+    for k in range(3):
+        mean = np.average(own[want == k], weights=length[want == k])
+        most = np.quantile((own[want == k] - mean) * np.sqrt(length[want == k]), 0.999)
+        assert np.allclose(model.typical[k], (mean + 0.8, 1.5 * max(0.5, most)), atol=1e-6)
+    low = np.sort(entropy, axis=1)
+    x, hit = (low[:, 1] - low[:, 0]) * np.sqrt(length), entropy.argmin(axis=1) == want
+    p = 1 / (1 + np.exp(-np.clip(model.margin[0] * x + model.margin[1], -30, 30)))
+    assert np.allclose([((p - hit) * x).sum() + 0.01 * model.margin[0], (p - hit).sum() + 0.01 * model.margin[1]], 0, atol=1e-3)  # the least of its loss
+
+
+def test_order_statistics(spark):
+    r = np.random.default_rng(11)
+    own = {0: r.integers(-(1 << 45), 1 << 45, 3000), 1: r.integers(-2, 3, 500), 2: np.array([-1]), 3: (r.normal(size=2000) * (1 << 24)).astype(np.int64)}
+    asked = {(k, rank) for k, v in own.items() for rank in {0, len(v) // 2, (len(v) - 1) * 999 // 1000, len(v) - 1}}
+    values = spark.createDataFrame([(k, int(x)) for k, v in own.items() for x in v], "place int, value long")
+    assert order_statistics(values, asked) == {(k, rank): int(np.sort(own[k])[rank]) for k, rank in asked}
