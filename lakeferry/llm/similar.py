@@ -65,7 +65,7 @@ BLOCK = 4096
 ROWS, PAIRS = 50_000, 1 << 18
 #: Spanning forests of open pairs that leave a cell at most.
 FORESTS = 2
-#: Hashes of shingles in a block of texts that are all compared.
+#: Hashes of shingles in a block of texts that are all compared; such a block has at most about BLOCK texts, too.
 HASHES = 1 << 19
 
 #: Sets of up to three flipped bits of LOW.
@@ -392,7 +392,7 @@ def near_deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not open_.isEmpty():
         links = links.union(_checked(open_, whole, number, text, size, seed, similarity, max_broadcast))
         root = cut(components(links))
-    more = _left_out(found, root, whole, number, text, size, seed, similarity, max_broadcast)
+    more = _left_out(found, root, whole, number, text, size, seed, similarity, block, max_broadcast)
     if more is not None:
         root = cut(components(links.union(more)))
     least = distinct.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
@@ -487,7 +487,7 @@ def linked(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray, similari
     return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64),) * 2
 
 
-def _left_out(found: DataFrame, root: DataFrame, whole: DataFrame, number: str, text: Column, size: int, seed: int, similarity: float, max_broadcast: int) -> DataFrame | None:
+def _left_out(found: DataFrame, root: DataFrame, whole: DataFrame, number: str, text: Column, size: int, seed: int, similarity: float, block: int, max_broadcast: int) -> DataFrame | None:
     """Links that join, with those of root, all pairs of the similarity that crowded cells left out; None if they can't have left out any
     that isn't joined."""
     spark = whole.sparkSession
@@ -502,7 +502,7 @@ def _left_out(found: DataFrame, root: DataFrame, whole: DataFrame, number: str,
     ends = marked.select(F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.col(f"root_{c}").alias("root")) for c in "ab"))).alias("end")).select("end.*").distinct()
     ends = cut(ends.join(group, "root"))
     sets = _sets(_small(ends.select("node"), max_broadcast), whole, number, text, size, seed)
-    blocks = ends.join(sets.select("node", (F.length("own") / 4).alias("n")), "node").groupBy("group").agg((1 + F.floor(F.sum("n") / HASHES)).cast("int").alias("blocks"))
+    blocks = ends.join(sets.select("node", (F.length("own") / 4).alias("n")), "node").groupBy("group").agg((1 + F.floor(F.greatest(F.sum("n") / HASHES, F.count("*") / block))).cast("int").alias("blocks"))
     mine, other = F.col("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     # Cell (i, j), i <= j, of a group holds its blocks i and j.
     dealt = ends.join(cut(blocks), "group").select("group", "node", "root", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("mine"), other)
@@ -512,9 +512,9 @@ def _left_out(found: DataFrame, root: DataFrame, whole: DataFrame, number: str,
         held: list[pa.RecordBatch] = []
 
         def links() -> pa.RecordBatch:
-            node, of, block = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("node", "root", "mine"))
+            node, of, mine = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("node", "root", "mine"))
             own = [np.frombuffer(s, np.uint32) for b in held for s in b.column("own").to_pylist()]
-            u, v = linked(own, of, block, similarity)
+            u, v = linked(own, of, mine, similarity)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["a", "b"])
 

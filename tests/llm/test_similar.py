@@ -179,8 +179,8 @@ def test_linked_equals_all_pairs():
         assert union(range(30), [*old, *zip(u, v)]) == union(range(30), [*old, *want]) and len(u) < 30
 
 
-@pytest.mark.parametrize("hashes", [1 << 19, 4000])
-def test_links_in_a_crowded_cell(spark, monkeypatch, hashes):
+@pytest.mark.parametrize("hashes,block", [(1 << 19, 4096), (4000, 4096), (1 << 19, 60)])
+def test_links_in_a_crowded_cell(spark, monkeypatch, hashes, block):
     """Variants of one text, most of them just below the threshold: the links among them are not those of the least distances."""
     monkeypatch.setattr(similar, "HASHES", hashes)
     r = random.Random(13)
@@ -190,6 +190,6 @@ def test_links_in_a_crowded_cell(spark, monkeypatch, hashes):
     prints = packed([fingerprint(shingles(t.encode(), 5, 42)) for _, t in rows])[0]
     sure = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum() <= bounds(0.8)[0]
     root = union(range(150), [(a, b) for a, b in combinations(range(150), 2) if alike(sets[a], sets[b]) >= 0.8 or sure(a, b)])
-    got = near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=block)
     kept = sorted(x.doc_id for x in got.collect())
     assert kept == sorted(min(k for k in range(150) if root[k] == own) for own in set(root.values()))
