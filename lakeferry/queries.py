@@ -325,10 +325,17 @@ def sides(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def in_database(spark: SparkSession, target: DataFrame, source: DataFrame, strategy: str, **more) -> DataFrame:
-    """The table after the target was put there and the source loaded over it."""
+    """The table after the target was put there and the source loaded over it. The database is on the driver's disk: its heap is too small
+    for large ones."""
+    import atexit
+    import shutil
+    import tempfile
+
     from lakeferry.sinks.jdbc import JdbcSink
 
-    url = f"jdbc:derby:memory:{scratch(spark).rpartition('-')[2]};create=true"
+    folder = tempfile.mkdtemp(prefix="lakeferry-derby-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    url = f"jdbc:derby:{folder}/db;create=true"
     for df, kind, own in ((target, "drop_replace", {}), (source, strategy, more)):
         sink = JdbcSink(spark, url, "S.T", kind, **own)
         sink.prepare(df, from_schema(df.schema))

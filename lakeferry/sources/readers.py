@@ -109,14 +109,18 @@ def jdbc(spark: SparkSession, url: str, table_or_query: str, *, partition_column
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table_or_query).options(**options)
     if partition_column and bounds:
         reader = reader.option("partitionColumn", partition_column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
+    from lakeferry.sinks.jdbc import DRIVERS, Connection, exported, out_of_reach
+
     columns: list[ColumnSpec] = []
     if re.fullmatch(r"\w+\.\w+", table_or_query):  # of a table the driver knows more than Spark's types say
-        from lakeferry.sinks.jdbc import DRIVERS, Connection
-
         if url.startswith(tuple(DRIVERS)):
             with Connection(spark, url, {k: v for k, v in options.items() if k in ("user", "password")}) as c:
                 columns = c.columns(*table_or_query.split("."))
-    return _opened(reader.load(), columns or None)
+    df = reader.load()
+    if out_of_reach(spark, url):
+        with Connection(spark, url, {k: v for k, v in options.items() if k in ("user", "password")}) as c:
+            df = exported(spark, c, table_or_query, df.schema)
+    return _opened(df, columns or None)
 
 
 def arrow_stream(spark: SparkSession, stream, staging: str | None = None) -> tuple[DataFrame | None, Callable[[], None]]:

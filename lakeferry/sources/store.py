@@ -26,6 +26,7 @@ class Store:
         self.local = local_path(self.url)
         jvm = spark.sparkContext._jvm
         self._path = lambda rel="": jvm.org.apache.hadoop.fs.Path(join_url(self.url, rel) if rel else self.url)
+        self._path_of = lambda local: jvm.org.apache.hadoop.fs.Path(f"file://{local}")
         self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def full(self, rel: str) -> str:
@@ -108,6 +109,14 @@ class Store:
     def delete(self, rel: str) -> bool:
         return self._fs.delete(self._path(rel), True)
 
+    def fetch(self, rel: str, local: str) -> None:
+        """A copy of a file on the driver's disk."""
+        self._fs.copyToLocalFile(False, self._path(rel), self._path_of(local), True)
+
+    def put(self, local: str, rel: str) -> None:
+        self._fs.mkdirs(self._path())
+        self._fs.copyFromLocalFile(False, True, self._path_of(local), self._path(rel))
+
     def rename(self, rel: str, to: str) -> None:
         self._fs.mkdirs(self._path(to).getParent())
         self.delete(to)
