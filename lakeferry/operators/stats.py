@@ -18,7 +18,12 @@ def ordered(t: T.DataType) -> bool:
 
 def file_stats(df: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
     """num_records, and null_count_, min_ and max_ of each column; one row, or one for each file or other group `by`."""
-    aggs = [F.count("*").alias("num_records")]
+    n = F.count("*")
+    if by:
+        # Least and greatest texts don't fit a hash aggregate's rows, and Spark would sort all rows by group. An aggregate of objects, here of
+        # nothing but nulls, makes it keep one row of objects for each group instead.
+        n = n + F.size(F.collect_set(F.lit(None).cast("int")))
+    aggs = [n.alias("num_records")]
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         aggs.append(F.count_if(c.isNull()).alias(f"null_count_{f.name}"))
