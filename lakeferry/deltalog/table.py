@@ -20,7 +20,6 @@ from typing import Any
 from urllib.parse import unquote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +35,8 @@ from lakeferry.shipping import ship
 OVERWRITE_ATTEMPTS, MERGE_ATTEMPTS = 10, 3
 #: Bits of a row's number beside its file's, and how many marked rows and files are broadcast at most.
 ROW_BITS, MARKED_BROADCAST, FILES_BROADCAST = 40, 4_000_000, 100_000
+#: Row numbers that a worker packs at once.
+PACKED = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -322,11 +323,11 @@ class Table:
             if marks and "deletionVectors" not in now.features:
                 actions += [{"protocol": protocol("deletionVectors", *now.features)}, {"metaData": now.metadata | {"configuration": now.configuration | {"delta.enableDeletionVectors": "true"}}}]
             replaced = []
-            for path, (rows, _) in sorted(marks.items()):
+            for path, (data, held, _) in sorted(marks.items()):
                 actions.append(removal(now.files[path]))
                 stats = json.loads(now.files[path].get("stats") or "{}") | {"tightBounds": False}
-                replaced.append({"add": now.files[path] | {"stats": json.dumps(stats), "dataChange": True, "deletionVector": vectors.store(self.store, rows).as_action()}})
-            out["matched"] = sum(m for _, m in marks.values())
+                replaced.append({"add": now.files[path] | {"stats": json.dumps(stats), "dataChange": True, "deletionVector": vectors.store(self.store, data, held).as_action()}})
+            out["matched"] = sum(m for *_, m in marks.values())
             out["marked"] = len(marks)
             return actions + replaced + [{"add": a} for a in adds]
 
@@ -379,25 +380,55 @@ class Table:
             rows = self._live(rows, own, marked)
         return rows
 
-    def _marks(self, own: Snapshot, source: DataFrame, adds: list[dict], keys: Sequence[str], null_safe: bool) -> dict[str, tuple[np.ndarray, int]]:
-        """For each file with rows to replace: all its marked rows, old ones too, and how many are new."""
+    def _marks(self, own: Snapshot, source: DataFrame, adds: list[dict], keys: Sequence[str], null_safe: bool) -> dict[str, tuple[bytes, int, int]]:
+        """For each file with rows to replace: the vector of all its marked rows, old ones too, how many these are and how many are new.
+
+        Files go by number through the join. Workers pack rows as they come, to containers of 65,536 row numbers, and put those of equal
+        numbers together: a worker holds PACKED rows at most, and the driver at most one bit for each row of the files.
+        """
         rows = self.probe(own, adds, keys)
         if rows is None:
             return {}
-        paths, schema = list(own.files), self.schema(own)
+        paths, schema = sorted(own.files), self.schema(own)
+        names = self.spark.createDataFrame([(self._url(p), k) for k, p in enumerate(paths)], "__name string, __id long")
+        names = F.broadcast(names) if len(paths) <= FILES_BROADCAST else names
+        rows = rows.join(names, _file_key(F.col("__file")) == _file_key(F.col("__name")), "left")
+        number = F.coalesce("__id", F.raise_error(F.concat(F.lit("a file that the log doesn't name: "), "__file")).cast("long"))
+        rows = rows.select(*(F.col(f"`{k}`") for k in keys), number.alias("__id"), "__row")
         want = source.select(*(F.col(f"`{k}`").cast(schema[k].dataType).alias(k) for k in keys))
-        hit = matched_rows(rows, want, keys, null_safe=null_safe).select("__file", "__row")
+        hit = matched_rows(rows, want, keys, null_safe=null_safe).select((F.shiftleft("__id", ROW_BITS) + F.col("__row")).alias("at"))
+        form = "at long, data binary, n long"
 
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            """The rows of one file: no more than the file has, and packed to bits."""
-            return pd.DataFrame({"file": [pdf["__file"].iloc[0]], "data": [vectors.encode(pdf["__row"].to_numpy())], "n": [pdf["__row"].nunique()]})
+        def batch(found: dict[int, tuple[bytes, int]]) -> pa.RecordBatch:
+            columns = pa.array(list(found), pa.int64()), pa.array([d for d, _ in found.values()], pa.binary()), pa.array([n for _, n in found.values()], pa.int64())
+            return pa.RecordBatch.from_arrays(list(columns), ["at", "data", "n"])
 
-        by_url = {self._spelled(self._url(p)): p for p in paths}
+        def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in parts:
+                held.append(b.column(0).to_numpy())
+                n += len(b)
+                if n >= PACKED:
+                    yield batch(vectors.containers(np.concatenate(held)))
+                    held, n = [], 0
+            if n:
+                yield batch(vectors.containers(np.concatenate(held)))
+
+        def unite(t: pa.Table) -> pa.Table:
+            whole = vectors.joined(list(zip(t.column("data").to_pylist(), t.column("n").to_pylist(), strict=True)))
+            return pa.Table.from_batches([batch({t.column("at")[0].as_py(): whole})])
+
+        found: dict[int, dict[int, tuple[bytes, int]]] = {}
+        for r in hit.mapInArrow(pack, form).groupBy("at").applyInArrow(unite, form).collect():
+            found.setdefault(r["at"] >> (ROW_BITS - 16), {})[r["at"] & ((1 << (ROW_BITS - 16)) - 1)] = bytes(r["data"]), r["n"]
         out = {}
-        for r in hit.groupBy("__file").applyInPandas(pack, "file string, data binary, n long").collect():
-            path = by_url[self._spelled(r.file)]
-            new, old = vectors.decode(bytes(r.data)), vectors.Descriptor.of(own.files[path].get("deletionVector"))
-            out[path] = (np.union1d(new, vectors.load(self.store, old)) if old else new, r.n)
+        for k in sorted(found):
+            new = found.pop(k)
+            n = sum(m for _, m in new.values())
+            if old := vectors.Descriptor.of(own.files[paths[k]].get("deletionVector")):
+                for at, part in vectors.containers(vectors.load(self.store, old)).items():
+                    new[at] = vectors.joined([part, new[at]]) if at in new else part
+            out[paths[k]] = vectors.assembled(new), sum(m for _, m in new.values()), n
         return out
 
     def _url(self, path: str) -> str:
